@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import language_model, packing, quality, toxicity
 from .common import fold, read
 
 
@@ -13,6 +13,16 @@ def _scored(docs: DataFrame, threshold: float) -> DataFrame:
     return docs.select("doc_id", (fold(5, F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = language_model.score_all(docs, fold(10, F.col("doc_id")) != 0)
+    return out.select("doc_id", (fold(10, F.col("doc_id")) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -25,5 +35,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, model, ["doc_id"]), quality.THRESHOLD)
 
 
-QUERIES = {"op9_toxicity": op9_toxicity, "op10_quality_classifier": op10_quality_classifier}
+QUERIES = {"op2_lm_scoring": op2_lm_scoring, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_quality_classifier": op10_quality_classifier}
 ORACLES: dict[str, str] = {}

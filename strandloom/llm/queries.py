@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, packing, quality, toxicity
+from . import fingerprints, language_model, line_quality, packing, quality, sharding, toxicity
 from .common import fold, read
 
 
@@ -13,6 +13,22 @@ def _scored(docs: DataFrame, threshold: float) -> DataFrame:
     return docs.select("doc_id", (fold(5, F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+#: Small, so that tables of a few megabytes split too; at full scale one would take 256 MB or more.
+SHARD_BYTES = 1 << 20
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge(read(spark, sf_dir, "documents"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = language_model.score_all(docs, fold(10, F.col("doc_id")) != 0)
@@ -35,5 +51,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, model, ["doc_id"]), quality.THRESHOLD)
 
 
-QUERIES = {"op2_lm_scoring": op2_lm_scoring, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_quality_classifier": op10_quality_classifier}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sharding, op2_lm_scoring, op3_quality_rules, op7_fingerprints, op8_packing, op9_toxicity, op10_quality_classifier)
+}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(SHARD_BYTES), "op3_quality_rules": line_quality.oracle()}

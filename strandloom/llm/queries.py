@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_model, line_quality, packing, quality, sharding, toxicity
+from . import fingerprints, language_model, line_quality, packing, pieces, quality, sharding, toxicity
 from .common import fold, read
 
 
@@ -25,6 +25,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every text, decodes the ids, and compares the decoded text with the text."""
+    back = pieces.decode(pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return back.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "log_score",
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
 
@@ -53,6 +62,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_lm_scoring, op3_quality_rules, op7_fingerprints, op8_packing, op9_toxicity, op10_quality_classifier)
+    for f in (op1_sharding, op2_lm_scoring, op3_quality_rules, op4_sentencepiece, op7_fingerprints, op8_packing, op9_toxicity, op10_quality_classifier)
 }
 ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(SHARD_BYTES), "op3_quality_rules": line_quality.oracle()}

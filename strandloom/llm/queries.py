@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_model, line_quality, ngram_join, packing, pieces, quality, sharding, toxicity
+from . import fingerprints, language_model, line_quality, ngram_join, packing, passages, pieces, quality, sharding, toxicity
 from .common import fold, read
 
 
@@ -34,6 +34,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_words", "n_links", "n_dup_words")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"), 4, 85, 100)
 
@@ -66,6 +70,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_lm_scoring, op3_quality_rules, op4_sentencepiece, op6_ngram_jaccard, op7_fingerprints, op8_packing, op9_toxicity, op10_quality_classifier)
+    for f in (op1_sharding, op2_lm_scoring, op3_quality_rules, op4_sentencepiece, op5_substring_dedup, op6_ngram_jaccard, op7_fingerprints, op8_packing, op9_toxicity, op10_quality_classifier)
 }
 ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(SHARD_BYTES), "op3_quality_rules": line_quality.oracle()}

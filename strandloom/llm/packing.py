@@ -19,6 +19,7 @@ pieces; other columns are ignored.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -43,26 +44,55 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Fixed by the tokenizer's file: its pattern, and the characters that stand for bytes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+
+def byte_characters() -> dict[int, str]:
+    """Byte to character: printable bytes stand for themselves, the others are numbered from 256."""
+    rest = [b for b in range(256) if b not in set(PRINTABLE)]
+    return {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokens(dict):
-    """Token ids (little-endian 32-bit) by word; words are looked up many at a time."""
+    """Token ids (little-endian 32-bit) by word; words are looked up many at a time.
 
-    def __init__(self, path: str, most: int = 300_000):
+    Words of Latin-1 characters are in normal form and split by the pattern alone, so their
+    parts go straight to the tokenizer's merges; other words go through all of it."""
+
+    def __init__(self, path: str, most: int = 600_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most = most
+        self.most, self.split = most, regex.compile(PATTERN).findall
+        self.chars = byte_characters()
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > self.most:
             self.clear()
             new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
+        hard, split, chars = [], self.split, self.chars
+        merge, pack, forms = self.tokenizer.model.tokenize, struct.pack, [f"<{n}I" for n in range(64)]
+        for w in new:
+            s = w.decode()
+            if s.isascii() and s.isalpha():
+                ids = [t.id for t in merge(s.lower())]
+            elif s.isprintable() and (s.isascii() or max(s) < "\u0100"):
+                ids = [t.id for p in split(s.lower()) for t in merge(p if p.isascii() else "".join([chars[b] for b in p.encode()]))]
+            else:
+                hard.append((w, s))
+                continue
+            n = len(ids)
+            self[w] = pack(forms[n] if n < 64 else f"<{n}I", *ids)
+        for i in range(0, len(hard), 20_000):
+            part = hard[i : i + 20_000]
+            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([s for _, s in part], add_special_tokens=False), strict=True):
                 self[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
@@ -74,6 +104,10 @@ class WordTokens(dict):
             yield b"".join(map(self.__getitem__, words)) + end
 
 
+#: The words that this Python worker has met, for all tasks that it runs.
+_KNOWN: dict[str, WordTokens] = {}
+
+
 class Packer:
     """Open windows of one partition. A piece is [doc, start, ids, doc_tokens]."""
 
@@ -140,7 +174,10 @@ def pack(docs: DataFrame, tokenizer: Callable[[], str] = public_tokenizer, keep_
             rows.clear()
             return out
 
-        words, packer = WordTokens(tokenizer()), Packer(emit, window)
+        path = tokenizer()
+        if path not in _KNOWN:
+            _KNOWN[path] = WordTokens(path)
+        words, packer = _KNOWN[path], Packer(emit, window)
         for batch in slices(batches):
             schema = schema or pa.schema([("doc_id", batch.schema.field("doc_id").type), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary()), ("part", pa.int64())])
             for doc, ids in zip(batch.column("doc_id").to_pylist(), words.texts(raw_texts(batch)), strict=True):

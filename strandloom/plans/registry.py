@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases
+from ..operators import consensus as C
 from ..operators import edges as E
 from ..operators import intervals as I
 from ..operators import kmers as KM
@@ -13,6 +14,8 @@ from ..operators import minimizers as M
 from ..operators import nodes as N
 from ..operators import paf as A
 from ..operators import paths as P
+from ..operators import unitigs as U
+from ..operators import walks as W
 from . import fixtures as X
 
 K, SEED, WIDTH, STEP, ANCHOR, FLANK, LEAST = 21, 15, 5, 10, 4, 40, 5
@@ -358,3 +361,44 @@ def path_statistics(spark, sf_dir):
 @query(f"WITH {X.PATHS} SELECT path_id, array_to_string(ids, '-') AS path FROM paths WHERE len(list_distinct(ids)) = len(ids)")
 def path_without_repeats(spark, sf_dir):
     return P.without_repeats(X.paths(spark, sf_dir)).select("path_id", _text())
+
+
+# Iterative and sequential operators: SQL can't express these; tests/ holds them against brute force.
+def _graph(spark, sf_dir, keep_tips: bool = True) -> tuple[DataFrame, DataFrame]:
+    return U.unitigs(KM.solid(_counts(spark, sf_dir)), K, keep_tips)
+
+
+def _simple(spark, sf_dir) -> DataFrame:
+    return U.simplify(_graph(spark, sf_dir)[0], K, 2 * K)
+
+
+@query()
+def unitigs(spark, sf_dir):
+    return _graph(spark, sf_dir, False)[0]
+
+
+@query()
+def graph_simplify(spark, sf_dir):
+    return _simple(spark, sf_dir)
+
+
+@query()
+def read_correct(spark, sf_dir):
+    return W.correct(KM.long_enough(X.reads(spark, sf_dir), K), _simple(spark, sf_dir), K).select("read_id", "seq", F.array_join("path", ",").alias("path"), "errors")
+
+
+@query()
+def pair_merge(spark, sf_dir):
+    return W.merge_pairs(X.pairs(spark, sf_dir, 100), _simple(spark, sf_dir), K, 400).select("read_id", "mate", "seq", F.array_join("path", ",").alias("path"))
+
+
+@query()
+def long_path(spark, sf_dir):
+    return W.long_paths(X.refs(spark, sf_dir).withColumnRenamed("ref_id", "read_id"), _simple(spark, sf_dir), K).select("read_id", F.array_join("path", ",").alias("path"))
+
+
+@query()
+def contigs(spark, sf_dir):
+    edges = _simple(spark, sf_dir)
+    paths = W.correct(KM.long_enough(X.reads(spark, sf_dir), K), edges, K).select("read_id", "path")
+    return C.contigs(C.consensus_paths(paths, 2), edges, K).select(F.array_join("path", ",").alias("path"), "freq", "seq", "len")

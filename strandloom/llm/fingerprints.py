@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import durable
 
 K, PICK, BINS = 3, 2, 32
+#: Up to so many distinct repeated k-mers are looked for one by one.
+MANY = 16
 _SHIFT = 64 - (BINS.bit_length() - 1)
 
 
@@ -34,20 +36,30 @@ def sketch(df: DataFrame, text: str, out: str = "sketch") -> DataFrame:
     d = d.selectExpr(*keep, "transform(w, x -> xxhash64(x)) AS h")
     run = ", ".join(f"get(h, i + {k})" for k in range(1, K))
     d = d.selectExpr(*keep, f"CASE WHEN size(h) = 0 THEN array() WHEN size(h) < {K} THEN array(xxhash64(h)) ELSE transform(slice(h, 1, greatest(0, size(h) - {K - 1})), (x, i) -> xxhash64(x, {run})) END AS g")
-    # Occurrence numbers: all 0 without repeats, else from the runs of the sorted k-mers.
-    d = d.selectExpr(*keep, "g", "size(array_distinct(g)) < size(g) AS again")
-    d = d.selectExpr(*keep, "g", "again", "IF(again, sort_array(transform(g, (x, i) -> struct(x AS h, i AS p))), array()) AS s")
-    d = d.selectExpr(*keep, "g", "again", "s", "filter(transform(s, (e, i) -> IF(e.h <=> get(s, i - 1).h, -1, i)), i -> i >= 0) AS b")
+    # Occurrence numbers: only k-mers that repeat are sorted with their places; where many repeat, all are.
+    d = d.selectExpr(*keep, "g", "sort_array(g) AS s")
+    d = d.selectExpr(*keep, "g", "array_distinct(filter(s, (x, i) -> x <=> get(s, i - 1))) AS d")
+    every = "transform(g, (x, i) -> struct(x AS h, i AS p))"
+    d = d.selectExpr(*keep, "g", "d", f"CASE WHEN size(d) = 0 THEN array() WHEN size(d) > {MANY} THEN sort_array({every}) ELSE sort_array(filter({every}, e -> array_contains(d, e.h))) END AS s")
+    d = d.selectExpr(*keep, "g", "d", "s", "filter(transform(s, (e, i) -> IF(e.h <=> get(s, i - 1).h, -1, i)), i -> i >= 0) AS b")
     numbered = "flatten(transform(b, (a, j) -> transform(slice(s, a + 1, coalesce(get(b, j + 1), size(s)) - a), (e, o) -> struct(xxhash64(e.h, o) AS h, e.p AS p))))"
-    d = d.selectExpr(*keep, f"sort_array(IF(again, {numbered}, transform(g, (x, i) -> struct(xxhash64(x, 0) AS h, i AS p)))) AS s")
-    bin_of = lambda e: f"shiftright({e}.h, {_SHIFT})"
-    d = d.selectExpr(*keep, f"filter(s, (e, i) -> NOT {bin_of(f'get(s, i - {PICK})')} <=> {bin_of('e')}) AS s")
+    single = "transform(g, (x, i) -> struct(xxhash64(x, 0) AS h, i AS p))"
+    some = "filter(transform(g, (x, i) -> struct(IF(array_contains(d, x), NULL, xxhash64(x, 0)) AS h, i AS p)), e -> e.h IS NOT NULL)"
+    d = d.selectExpr(*keep, f"CASE WHEN size(d) = 0 THEN {single} WHEN size(d) > {MANY} THEN {numbered} ELSE concat({some}, {numbered}) END AS e")
+    # The PICK smallest of each bin: from the sorted hashes alone, then the entries up to each bin's limit.
+    at = lambda x: f"shiftright({x}, {_SHIFT})"
+    d = d.selectExpr(*keep, "e", "sort_array(transform(e, x -> x.h)) AS s")
+    d = d.selectExpr(*keep, "e", f"filter(s, (x, i) -> NOT {at(f'get(s, i - {PICK})')} <=> {at('x')}) AS s")
+    # A column that is used once is put in place of its name, so one that a lambda reads is bound as an argument first.
+    most = f"map_from_entries(filter(transform(s, (x, i) -> IF({at('get(s, i + 1)')} <=> {at('x')}, NULL, struct({at('x')} AS bin, x AS most))), x -> x IS NOT NULL))"
+    d = d.selectExpr(*keep, "e", f"transform(array({most}), m -> transform(sequence({-BINS // 2}L, {BINS // 2 - 1}L), i -> try_element_at(m, i)))[0] AS m")
+    d = d.selectExpr(*keep, f"sort_array(transform(array(m), m -> filter(e, x -> x.h <= get(m, CAST({at('x.h')} + {BINS // 2} AS int))))[0]) AS s")
+    bin_of = lambda e: at(f"{e}.h")
     # Now each bin has at most PICK = 2 entries, side by side.
     pair = f"{bin_of('get(s, i + 1)')} <=> {bin_of('e')}"
     mark = f"IF({pair}, IF(e.p <= get(s, i + 1).p, xxhash64(e.h, get(s, i + 1).h), xxhash64(get(s, i + 1).h, e.h)), xxhash64(e.h))"
     entries = f"filter(transform(s, (e, i) -> IF({bin_of('get(s, i - 1)')} <=> {bin_of('e')}, NULL, struct(CAST({bin_of('e')} AS int) AS bin, CAST({mark} & 2147483647 AS int) AS mark))), x -> x IS NOT NULL)"
-    d = d.selectExpr(*keep, f"map_from_entries({entries}) AS m")
-    return d.selectExpr(*keep, f"transform(sequence({-BINS // 2}, {BINS // 2 - 1}), i -> try_element_at(m, i)) AS `{out}`")
+    return d.selectExpr(*keep, f"transform(array(map_from_entries({entries})), m -> transform(sequence({-BINS // 2}, {BINS // 2 - 1}), i -> try_element_at(m, i)))[0] AS `{out}`")
 
 
 def likeness(a: str, b: str) -> Column:

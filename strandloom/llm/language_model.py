@@ -317,7 +317,7 @@ def train(docs: DataFrame, words: Words) -> Model:
         return run
 
     bound = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM)
-    sample = docs.join(F.broadcast(bound), "doc_id", "left_semi").select("text").repartition(1)
+    sample = docs.join(F.broadcast(bound), "doc_id", "left_semi").select("text").limit(WARM)
     first = sample.mapInArrow(fit(None, WARM_ROUNDS, 0.1, 1e-6), "n double, w array<double>").collect()
     start = np.array(first[0].w) if first else Model.start(words.share).flat()
     parts = docs.select("text").mapInArrow(fit(start, 1, 0.03, 1e-5), "n double, w array<double>")

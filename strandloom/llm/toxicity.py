@@ -180,8 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
         got = train([texts[i] for i in order], np.array([y[i] for i in order], dtype=int))
         yield pa.RecordBatch.from_pydict({"term": ["", *got.weights], "w": [got.bias, *got.weights.values()]})
 
-    # At most `rows` rows meet in the one task; the scan before stays spread.
-    sample = sample_labelled(docs, labels, "toxic", rows).repartition(1)
+    # At most `rows` rows meet in the one task, even where ids repeat; the scan before stays spread.
+    sample = sample_labelled(docs, labels, "toxic", rows).limit(rows)
     got = sample.mapInArrow(whole, "term string, w double").collect()
     return Classifier({r.term: r.w for r in got if r.term}, next((r.w for r in got if not r.term), -500.0))
 

@@ -91,3 +91,40 @@ def contigs(consensus_: DataFrame, edges: DataFrame, k: int) -> DataFrame:
 
     out = best.mapInPandas(spell, "path array<long>, freq long, seq string")
     return out.withColumn("len", F.length("seq").cast("long"))
+
+
+def extend(found: dict[int, list[int]], unique: set[int], lengths: dict[int, int], least_added: int) -> dict[int, list[int]]:
+    """Consensus paths of unique edges, longest first, made longer by one overlapping path of another unique edge.
+
+    A path takes the only other path that holds one of its ends' unique edges, agrees with
+    it over the overlap and adds more than least_added bases; a path is used once. Longest
+    first, then by anchor, is the order that decides."""
+    size = lambda p: sum(lengths[abs(o)] for o in p)
+    out, used = {}, set()
+    for anchor in sorted(found, key=lambda a: (-size(found[a]), a)):
+        if anchor in used:
+            continue
+        used.add(anchor)
+        path, grown = found[anchor], True
+        while grown:
+            grown = False
+            for turn in (False, True):  # to the right, then to the left
+                now = [-o for o in reversed(path)] if turn else path
+                end = next((o for o in reversed(now) if abs(o) in unique), None)
+                ways = []
+                for other, p in found.items():
+                    if other in used or end is None:
+                        continue
+                    q = p if end in p else [-o for o in reversed(p)]
+                    if end in q:
+                        i, j = now.index(end), q.index(end)
+                        tail, more = now[i:], q[j:]
+                        back = min(i, j)
+                        if more[: len(tail)] == tail and now[i - back : i] == q[j - back : j] and size(more[len(tail) :]) > least_added:
+                            ways.append((other, more[len(tail) :]))
+                if len(ways) == 1:
+                    used.add(ways[0][0])
+                    now = now + ways[0][1]
+                    path, grown = ([-o for o in reversed(now)] if turn else now), True
+        out[anchor] = path
+    return out

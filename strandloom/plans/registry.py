@@ -16,6 +16,7 @@ from ..operators import paf as A
 from ..operators import paths as P
 from ..operators import unitigs as U
 from ..operators import walks as W
+from ..sources import sinks as S
 from . import fixtures as X
 
 K, SEED, WIDTH, STEP, ANCHOR, FLANK, LEAST = 21, 15, 5, 10, 4, 40, 5
@@ -402,3 +403,52 @@ def contigs(spark, sf_dir):
     edges = _simple(spark, sf_dir)
     paths = W.correct(KM.long_enough(X.reads(spark, sf_dir), K), edges, K).select("read_id", "path")
     return C.contigs(C.consensus_paths(paths, 2), edges, K).select(F.array_join("path", ",").alias("path"), "freq", "seq", "len")
+
+
+# Scalar functions, sinks and path predicates.
+@query(f"""WITH {X.READS}, c AS (SELECT DISTINCT kmer FROM {X.kmers_sql('reads', 'read_id', K)})
+SELECT kmer, substr(kmer, 2) || '0' AS after, '3' || left(kmer, {K - 1}) AS before, translate(kmer, '0123', '3210') AS complement FROM c""")
+def kmer_extend(spark, sf_dir):
+    k = F.col("kmer")
+    return _counts(spark, sf_dir).select("kmer", bases.next_kmer(k, F.lit("0")).alias("after"), bases.previous_kmer(k, F.lit("3")).alias("before"), bases.complement(k).alias("complement"))
+
+
+@query(f"""WITH {X.READS} SELECT read_id, left(seq, 60) || substr(substr(seq, {60 - K + 2}, 60), {K}) AS joined, right(left(seq, 60), {K - 1}) = left(substr(seq, {60 - K + 2}, 60), {K - 1}) AS overlap
+FROM reads WHERE length(seq) >= 120""")
+def unitig_join(spark, sf_dir):
+    """Two overlapping pieces of each read, put together again."""
+    r = X.reads(spark, sf_dir).where(F.length("seq") >= 120)
+    a, b = bases.piece(F.col("seq"), 0, 60), bases.piece(F.col("seq"), 60 - K + 1, 60)
+    return r.select("read_id", bases.join_unitigs(a, b, K).alias("joined"), bases.overlaps(a, b, K).alias("overlap"))
+
+
+@query(f"""WITH {X.PATHS}, t AS (SELECT path_id, ids, ',' || array_to_string(ids, ',') || ',' AS s FROM paths)
+SELECT path_id, len(list_distinct(ids)) < len(ids) AS cyclic, contains(s, ',2,3,') OR contains(s, ',3,2,') AS holds, list_position(ids, 4) AS first_4 FROM t""")
+def path_predicates(spark, sf_dir):
+    ids = F.col("ids")
+    part = F.array(F.lit(2), F.lit(3))
+    first = F.array_position(ids, 4)
+    return X.paths(spark, sf_dir).select("path_id", bases.has_cycle(ids).alias("cyclic"), bases.contains_path(ids, part).alias("holds"), F.when(first > 0, first).cast("int").alias("first_4"))
+
+
+def _edge_rows(spark, sf_dir) -> DataFrame:
+    return X.refs(spark, sf_dir).select(F.col("ref_id").alias("edge_id"), (F.col("ref_id") * 2).alias("start_nid"), (F.col("ref_id") * 2 + 1).alias("end_nid"), "seq")
+
+
+@query(f"""WITH {X.REFS} SELECT '@' || ref_id || chr(9) || ref_id * 2 || chr(9) || (ref_id * 2 + 1) || chr(10) || translate(seq, '0123', 'CATG') || chr(10) || '+' || chr(10) || repeat('I', length(seq)) AS value FROM refs""")
+def sink_edges(spark, sf_dir):
+    return S.edge_lines(_edge_rows(spark, sf_dir))
+
+
+@query(f"""WITH {X.REFS}, r AS (SELECT *, translate(seq, '0123', 'CATG') AS l FROM refs)
+SELECT ref_id || '/1' AS name, left(l, 80) AS seq FROM r WHERE length(l) > 160 UNION ALL SELECT ref_id || '/2', right(l, 80) FROM r WHERE length(l) > 160
+UNION ALL SELECT CAST(ref_id AS VARCHAR), l FROM r WHERE length(l) <= 160""")
+def sink_split_edges(spark, sf_dir):
+    return S.split_edges(_edge_rows(spark, sf_dir), 80)
+
+
+@query(f"{_MATCH}, p AS (SELECT read_id, ref_id, min(read_pos) AS pos FROM m GROUP BY read_id, ref_id) SELECT read_id, ref_id AS best_ref FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY pos, ref_id) AS k FROM p) WHERE k = 1")
+def seed_first_ref(spark, sf_dir):
+    """Each read's reference with the leftmost match."""
+    m = _matches(spark, sf_dir).groupBy("read_id").agg(F.min(F.struct("read_pos", "ref_id")).alias("x"))
+    return m.select("read_id", F.col("x.ref_id").alias("best_ref"))

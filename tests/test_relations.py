@@ -94,3 +94,9 @@ def test_consensus():
     rows = [[2, 3, 4], [2, 3, 4], [-4, -3, -2], [5, 3, 6], [5, 3, 6], [7, 3]]
     assert C.consensus(3, rows, 2) == [([2, 3, 4], 3), ([5, 3, 6], 2)]
     assert C.merge_halves([([2, 3], 4), ([3, 5], 2)], 3) == [([2, 3, 5], 2)]
+
+
+def test_extension_takes_the_only_overlapping_path():
+    lengths = dict.fromkeys(range(2, 12), 1500)
+    assert C.extend({2: [2, 3, 4, 7], 7: [4, 7, 5, 6]}, {2, 7}, lengths, 2000)[2] == [2, 3, 4, 7, 5, 6]
+    assert C.extend({2: [2, 3, 4, 7], 7: [4, 7, 5]}, {2, 7}, lengths, 2000)[2] == [2, 3, 4, 7]

@@ -85,7 +85,7 @@ class Plan:
         return last * (self.den - self.num) // self.num
 
     def spare(self, c: np.ndarray) -> np.ndarray:
-        return 2 + self.differing(c) // 50
+        return 3 + self.differing(c) // 25
 
     def parts(self, c: np.ndarray) -> np.ndarray:
         return self.differing(c) + 1 + self.spare(c)

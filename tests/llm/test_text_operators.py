@@ -182,6 +182,23 @@ def test_repeated_passages_are_found_and_clean_texts_left_alone(spark):
     assert shared[1] not in left and left.startswith(prose(60, 10)[:100])
 
 
+def test_short_passages_near_the_threshold_are_found(spark):
+    """Pairs of texts with a passage of 50 to 60 words at a similarity of 0.8 to 0.85, against brute force."""
+    cases = [(50, (25,)), (60, (30,)), (60, (30, 31))]
+    texts, pairs = [], []
+    for i in range(90):
+        n, changed = cases[i % 3]
+        one = prose(n, 6000 + i).split()
+        two = ["changed" if j in changed else w for j, w in enumerate(one)]
+        a, b = ({tuple(x[j : j + 5]) for j in range(n - 4)} for x in (one, two))
+        assert 0.8 <= len(a & b) / len(a | b) <= 0.85
+        pairs.append((len(texts) + 1, len(texts) + 2))
+        texts += [f"{prose(40, 7000 + 2 * i + k)} {' '.join(x)} {prose(40, 8000 + 2 * i + k)}" for k, x in enumerate((one, two))]
+    out = {r.doc_id: r for r in passages.dedup(table(spark, texts)).collect()}
+    assert sum(out[b].class_id == a for a, b in pairs) >= 0.97 * len(pairs)
+    assert all(out[a].class_id == a and out[a].n_dup_words == 0 for a, _ in pairs)
+
+
 def test_jaccard_components_match_brute_force(spark):
     texts = [prose(R.randint(1, 12), i) for i in range(60)]
     base = [prose(n, 700 + n) for n in (9, 13, 16, 17, 40, 150, 300)]

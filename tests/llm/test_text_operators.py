@@ -199,6 +199,25 @@ def test_short_passages_near_the_threshold_are_found(spark):
     assert all(out[a].class_id == a and out[a].n_dup_words == 0 for a, _ in pairs)
 
 
+def test_a_passage_is_settled_only_by_a_link_over_it(spark):
+    """Each hub shares one passage with two texts and too little of another passage that they share with each other."""
+    texts = []
+    for i in range(30):
+        licence, own = prose(60, 9000 + i), prose(50, 9100 + i).split()
+        texts.append(f"{licence} {prose(40, 9200 + i)} {' '.join(own[:49])} end {prose(40, 9300 + i)}")
+        texts += [f"{licence} {prose(40, 9400 + 2 * i + k)} {' '.join(own)} {prose(40, 9500 + 2 * i + k)}" for k in range(2)]
+    out = {r.doc_id: r for r in passages.dedup(table(spark, texts)).collect()}
+    for i in range(1, 90, 3):
+        assert [out[i + k].class_id for k in range(3)] == [i] * 3
+        assert out[i + 1].n_dup_words < 70 and out[i + 2].n_dup_words >= 110
+
+
+def test_runs_found_elsewhere_dont_part_a_passage():
+    a = np.arange(1, 66, dtype=np.uint64)
+    b = np.concatenate([a[:30], np.arange(100, 105, dtype=np.uint64), a[35:], np.arange(200, 300, dtype=np.uint64), a[32:33]])
+    assert passages.shared(a, b) == [(0, 65, 0, 65)]
+
+
 def test_jaccard_components_match_brute_force(spark):
     texts = [prose(R.randint(1, 12), i) for i in range(60)]
     base = [prose(n, 700 + n) for n in (9, 13, 16, 17, 40, 150, 300)]

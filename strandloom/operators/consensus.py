@@ -17,33 +17,41 @@ from pyspark.sql import functions as F
 from .walks import Graph
 
 
-def forks(rows: list[dict[int, int]], least: int, step: int, at: int = 0) -> list[tuple[list[int], list[dict[int, int]]]]:
+#: A path by column, with the number of reads that take it.
+Row = tuple[dict[int, int], int]
+
+
+def forks(rows: list[Row], least: int, step: int, at: int = 0) -> list[tuple[list[int], list[Row]]]:
     """(edges outwards, rows that agree) of each branch beyond column `at`."""
     done, open_ = [], [([], rows, at + step)]
     while open_:
         path, now, col = open_.pop()
-        counts = Counter(r[col] for r in now if col in r)
+        counts = Counter()
+        for r, n in now:
+            if col in r:
+                counts[r[col]] += n
         best = sorted(e for e, n in counts.items() if n >= least)
         if not best:
             done.append((path, now))
         for e in best:
-            open_.append(([*path, e], [r for r in now if col not in r or r[col] == e], col + step))
+            open_.append(([*path, e], [(r, n) for r, n in now if col not in r or r[col] == e], col + step))
     return sorted(done, key=lambda x: x[0])
 
 
-def consensus(anchor: int, paths: list[list[int]], least: int) -> list[tuple[list[int], int]]:
-    """(path, rows that support it) for each branch; paths are oriented edge ids and contain the anchor either way."""
+def consensus(anchor: int, paths: list[list[int]], least: int, weights: list[int] | None = None) -> list[tuple[list[int], int]]:
+    """(path, reads that support it) for each branch; paths are oriented edge ids and contain the anchor either way, each
+    taken by as many reads as weights says (one, without)."""
     rows = []
-    for p in paths:
+    for p, n in zip(paths, weights or [1] * len(paths), strict=True):
         if anchor not in p:
             p = [-o for o in reversed(p)]
         if anchor in p:
             i = p.index(anchor)
-            rows.append({j - i: o for j, o in enumerate(p)})
+            rows.append(({j - i: o for j, o in enumerate(p)}, n))
     out = {}
     for left, kept in forks(rows, least, -1):
         for right, rest in forks(kept, least, 1):
-            out[(*left[::-1], anchor, *right)] = len(rest)
+            out[(*left[::-1], anchor, *right)] = sum(n for _, n in rest)
     return [(list(p), n) for p, n in sorted(out.items())]
 
 
@@ -60,15 +68,15 @@ def consensus_paths(paths: DataFrame, least: int, most_rows: int = 100_000) -> D
     """(anchor, path, freq): the consensus around each edge that starts a path group.
 
     paths: read_id, path. Rows are gathered by anchor; equal paths are counted before, so a
-    group holds distinct paths only."""
+    group holds distinct paths only, weighted by their counts."""
     flat = F.transform("path", lambda o: F.abs(o))
     distinct = paths.groupBy("path").agg(F.count("*").alias("n")).withColumn("flat", flat)
     by = distinct.select(F.explode(F.array_distinct("flat")).alias("anchor"), "path", "n")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         anchor = int(key[0])
-        many = [list(map(int, p)) for p, n in zip(rows["path"], rows["n"], strict=True) for _ in range(min(int(n), least))]
-        got = merge_halves(consensus(anchor, many, least), anchor)
+        each = [list(map(int, p)) for p in rows["path"]]
+        got = merge_halves(consensus(anchor, each, least, [int(n) for n in rows["n"]]), anchor)
         return pd.DataFrame([(anchor, p, n) for p, n in got], columns=["anchor", "path", "freq"])
 
     return by.groupBy("anchor").applyInPandas(run, "anchor long, path array<long>, freq long")

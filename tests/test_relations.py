@@ -100,3 +100,10 @@ def test_extension_takes_the_only_overlapping_path():
     lengths = dict.fromkeys(range(2, 12), 1500)
     assert C.extend({2: [2, 3, 4, 7], 7: [4, 7, 5, 6]}, {2, 7}, lengths, 2000)[2] == [2, 3, 4, 7, 5, 6]
     assert C.extend({2: [2, 3, 4, 7], 7: [4, 7, 5]}, {2, 7}, lengths, 2000)[2] == [2, 3, 4, 7]
+
+
+def test_consensus_counts_every_read_of_a_path(spark):
+    rows = [(i, [2, 3, 4]) for i in range(5)] + [(9, [-4, -3]), (10, [3, 7])]
+    paths = spark.createDataFrame(rows, "read_id long, path array<long>")
+    got = {r.anchor: (list(r.path), r.freq) for r in C.consensus_paths(paths, 2).collect()}
+    assert got[2] == ([2, 3, 4], 5) and got[3] == ([2, 3, 4], 6)

@@ -4,8 +4,8 @@ The base rules reject texts with fewer than MIN_WORDS words, or with more than a
 of their words in repeated five-word windows. For the line rule each line is
 normalised (lower case, digits and white space squeezed) and hashed with its host; a
 line that occurs in MIN_DOCS documents of a host or more, and in more than SHARE of
-them, is taken out. A document that keeps less than KEEP of its word characters is
-depleted and rejected.
+them, is taken out: clean() gives the texts without such lines. A document that keeps
+less than KEEP of its word characters is depleted and rejected.
 
 All of it is DataFrame expressions. Counting needs one row for each line and document;
 frequent lines are grouped before they are shuffled, and joined back by hash.
@@ -25,6 +25,8 @@ MIN_WORDS, WINDOW = 10, 5
 MIN_DOCS, SHARE, KEEP = 10, 0.002, 0.5
 
 _SPACE = r"' \t\n\u000B\u000C\r'"
+_CHARS = lambda x: f"length(translate({x}, {_SPACE}, ''))"
+_KEY = lambda host, x: rf"xxhash64({host}, trim(regexp_replace(lower({x}), '[ \\t\\n\\x0B\\f\\r0-9]+', ' ')))"
 _WORDS = r"filter(split(t, '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '')"
 
 
@@ -53,23 +55,35 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(host, key, doc_id, chars): the hash of each line that has a word, with its host; chars without white space."""
+    """(host, key, doc_id): the hash of each line that has a word, with its host."""
     d = docs.select("doc_id", F.col("source").alias("host"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    d = d.selectExpr("doc_id", "host", "line", f"length(translate(line, {_SPACE}, '')) AS chars").where("chars > 0")
-    plain = r"trim(regexp_replace(lower(line), '[ \\t\\n\\x0B\\f\\r0-9]+', ' '))"
-    return d.selectExpr("host", f"xxhash64(host, {plain}) AS key", "doc_id", "CAST(chars AS bigint) AS chars")
+    return d.where(f"{_CHARS('line')} > 0").selectExpr("host", f"{_KEY('host', 'line')} AS key", "doc_id")
 
 
-def line_loss(docs: DataFrame) -> DataFrame:
-    """(doc_id, lost): the share of each document's word characters that lie in frequent lines."""
+def clean(docs: DataFrame) -> DataFrame:
+    """All rows and columns of docs, the text without its frequent lines, with n_frequent_lines, their number. The other lines
+    stay in order, blank ones too."""
     lines = lines_of(docs)
     each = lines.groupBy("key", "doc_id").agg(F.min("host").alias("host"))
     often = each.groupBy("key").agg(F.count("*").alias("docs"), F.min("host").alias("host")).where(F.col("docs") >= MIN_DOCS)
     hosts = docs.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("host_docs"))
     often = often.join(hosts, F.col("docs").isNotNull() & often["host"].eqNullSafe(hosts["host"])).where(F.col("docs") > SHARE * F.col("host_docs"))
-    marked = lines.select("key", "doc_id", "chars").join(often.select("key", F.lit(True).alias("frequent")), "key", "left")
-    lost = F.sum(F.when(F.col("frequent"), F.col("chars")).otherwise(0))
-    return marked.groupBy("doc_id").agg((lost / F.sum("chars")).alias("lost"), F.sum(F.col("frequent").cast("long")).alias("n_frequent_lines"))
+    drop = lines.join(often.select("key"), "key").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("_keys"))
+    out = docs.join(drop, docs["doc_id"].eqNullSafe(F.col("_id")), "left").drop("_id")
+    kept = f"filter(split(text, '\\n'), x -> {_CHARS('x')} = 0 OR NOT array_contains(_keys, {_KEY('source', 'x')}))"
+    out = out.withColumn("_lines", F.expr(f"IF(_keys IS NULL, NULL, {kept})"))
+    gone = F.expr("CAST(IF(_keys IS NULL OR text IS NULL, 0, size(split(text, '\\n')) - size(_lines)) AS bigint)")
+    text = F.expr("IF(_keys IS NULL, text, array_join(_lines, '\n'))")
+    cols = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_frequent_lines"]
+    return out.select(*cols, gone.alias("n_frequent_lines"))
+
+
+def line_loss(docs: DataFrame) -> DataFrame:
+    """(doc_id, lost, n_frequent_lines): the share of each document's word characters that went with its frequent lines."""
+    d = docs.select("doc_id", "source", "text", F.expr(f"CAST({_CHARS('text')} AS bigint)").alias("chars"))
+    d = clean(d).select("doc_id", "chars", F.expr(f"CAST({_CHARS('text')} AS bigint)").alias("left"), "n_frequent_lines")
+    lost = F.try_divide(F.sum("chars") - F.sum("left"), F.sum("chars"))
+    return d.groupBy("doc_id").agg(lost.alias("lost"), F.sum("n_frequent_lines").alias("n_frequent_lines"))
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -218,6 +218,17 @@ def test_runs_found_elsewhere_dont_part_a_passage():
     assert passages.shared(a, b) == [(0, 65, 0, 65)]
 
 
+def test_frequent_lines_are_taken_out(spark):
+    own = [[prose(12, 9800 + i), "", prose(9, 9900 + i)] for i in range(40)]
+    texts = [f"{a}\nShare this  page 12\n{b}\nshare this page {i}\n{c}" for i, (a, b, c) in enumerate(own)]
+    docs = table(spark, [*texts, None, own[0][0]]).withColumn("source", F.lit("h"))
+    out = {r.doc_id: r for r in line_quality.clean(docs).collect()}
+    for i, lines in enumerate(own):
+        assert out[i + 1].text == "\n".join(lines) and out[i + 1].n_frequent_lines == 2
+    assert out[41].text is None and out[42].text == own[0][0] and out[42].n_frequent_lines == 0
+    assert {r.n_frequent_lines for r in line_quality.judge(docs).where("doc_id <= 40").collect()} == {2}
+
+
 def test_jaccard_components_match_brute_force(spark):
     texts = [prose(R.randint(1, 12), i) for i in range(60)]
     base = [prose(n, 700 + n) for n in (9, 13, 16, 17, 40, 150, 300)]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import re
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches are worked through in slices of about this many bytes of text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: ASCII white space; words are runs of anything else.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -23,18 +26,45 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
     It is the session's own (spark.checkpoint.dir, or one that was set on the context).
-    Only where none is set, as in a local test, a temporary one is made."""
+    Only a local session may be without one, as in a test: a temporary folder is made then."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local($|\[)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandloom-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The rows of df, kept in the shared folder; the plan above starts from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The rows of df as a Parquet table in the shared folder; the plan above starts from there.
+
+    What was shuffled to make them is no longer needed: the driver's collection of garbage lets the
+    executors delete it. discard() deletes the table."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that durable() made, once what was made of them is stored."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def met(make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of make(), (key, m, ...), whose key two different m have at least.
+
+    Keys are first counted alone, combined in each task, so that a frequent one is a row a task; the rows
+    are made again for the join, which Spark splits where a key is frequent."""
+    both = durable(make().groupBy("key").agg(F.min("m").alias("a"), F.max("m").alias("b")).where("a <> b").select("key"))
+    return make().join(both, "key", "left_semi")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 from .shingles import roots
 
 
@@ -48,14 +48,15 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         # Tasks of about HELD edges each: few edges are done in one task and one round.
-        e = e.coalesce(max(1, e.count() // HELD)).mapInArrow(_contract, "u long, v long").distinct()
-        both = durable(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        less = e.coalesce(max(1, e.count() // HELD)).mapInArrow(_contract, "u long, v long").distinct()
+        both = durable(less.union(less.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = durable(large)
+        large = durable(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-        e = durable(small.select("x.*").where("u <> v").distinct())
+        stars = durable(small.select("x.*").where("u <> v").distinct())
+        discard(e, both, large)
+        e = stars
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())

@@ -32,6 +32,8 @@ _P = np.uint64(0x100000001B3 * 2 + 1)
 _SPACE, _LITERAL = 0x2581, 0x110000
 #: Code points that are worked on at once.
 CELLS = 1 << 19
+#: Words that a Python worker remembers; they are forgotten together.
+MOST = 400_000
 
 
 def public_pieces(name: str = "piece_bpe_32k.model") -> str:
@@ -51,6 +53,7 @@ class Pieces:
     unknown: int
     values: list[bytes]  # text of each id
     powers: np.ndarray
+    of_id: np.ndarray  # score of each id, of bytes too
 
     @staticmethod
     def load(path: str) -> Pieces:
@@ -72,14 +75,22 @@ class Pieces:
             raise ValueError("a piece goes across words: words can't be segmented apart")
         longest = max(len(p) for p, _, _ in normal)
         powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(longest, _P, dtype=np.uint64)]), dtype=np.uint64)
-        rows = sorted((int(Pieces.hashes(np.array([[*map(ord, p)]], dtype=np.int64))[0, -1]), i, x) for p, i, x in normal)
-        keys = np.array([r[0] for r in rows], dtype=np.uint64)
+        keys, size = np.zeros(len(normal), dtype=np.uint64), np.array([len(p) for p, _, _ in normal])
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            codes = np.frombuffer("".join(normal[i][0] for i in at).encode("utf-32-le"), dtype="<u4").reshape(len(at), n)
+            keys[at] = Pieces.hashes(codes)[:, -1]
+        order = np.argsort(keys, kind="stable")
+        keys, ids = keys[order], np.array([i for _, i, _ in normal])[order]
         if (keys[1:] == keys[:-1]).any():
             raise ValueError("two pieces share a hash")
-        scores = np.array([r[2] for r in rows])
+        scores = np.array([x for _, _, x in normal])[order]
         # Pieces that the vocabulary's author set apart have scores near -1e9; here they rank below all others.
         scores = np.maximum(scores, scores[scores > -1e8].min(initial=0) - 1)
-        return Pieces(keys, np.array([r[1] for r in rows]), scores, longest, byte_ids, float(scores.min()) - 10, s.unk_id(), values, powers)
+        byte_score = float(scores.min()) - 10
+        of_id = np.full(len(values), byte_score)
+        of_id[ids] = scores
+        return Pieces(keys, ids, scores, longest, byte_ids, byte_score, s.unk_id(), values, powers, of_id)
 
     @staticmethod
     def hashes(codes: np.ndarray) -> np.ndarray:
@@ -150,26 +161,45 @@ class Pieces:
 _WORDS = re.compile(r" *[^ \n]+| +|\n")
 
 
-def encode(docs: DataFrame, model: Callable[[], str] = public_pieces, most: int = 200_000) -> DataFrame:
+class Known(dict):
+    """The ids of the words that this Python worker has met, for all tasks that it runs."""
+
+    def __init__(self, pieces: Pieces, most: int):
+        super().__init__()
+        self.pieces, self.most = pieces, most
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = list(words)
+        for w, ids, _ in self.pieces.encode_words(new):
+            self[w] = ids
+
+
+_KNOWN: dict[str, Known] = {}
+
+
+def _known(path: str) -> Known:
+    if path not in _KNOWN:
+        _KNOWN[path] = Known(Pieces.load(path), MOST)
+    return _KNOWN[path]
+
+
+def encode(docs: DataFrame, model: Callable[[], str] = public_pieces) -> DataFrame:
     """Adds ids (binary, 32-bit little-endian) and log_score to docs, which needs text."""
     keep = docs.columns
     inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col("text").alias("text"))
     schema = ", ".join(f"c{i} {inner.schema[i].dataType.simpleString()}" for i in range(len(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, ids, scores = Pieces.load(model()), {}, {}
+        known = _known(model())
+        score, ids_of = known.pieces.of_id, known.__getitem__
         for batch in slices(batches):
             split = [_WORDS.findall(f" {t.decode()}") if t else [] for t in raw_texts(batch)]
-            words = set().union(*split)
-            new = [w for w in words if w not in ids]
-            if len(ids) + len(new) > most:
-                ids.clear()
-                scores.clear()
-                new = list(words)
-            for w, i, s in pieces.encode_words(new):
-                ids[w], scores[w] = i, s
-            out = [b"".join(map(ids.__getitem__, s)) for s in split]
-            total = [float(sum(map(scores.__getitem__, s))) for s in split]
+            known.learn(set().union(*split))
+            out = [b"".join(map(ids_of, s)) for s in split]
+            total = [float(score[np.frombuffer(x, dtype="<u4")].sum()) for x in out]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary()), pa.array(total)], [*batch.schema.names[:-1], "ids", "log_score"])
 
     out = inner.mapInArrow(run, f"{schema}, ids binary, log_score double")
@@ -183,7 +213,7 @@ def decode(coded: DataFrame, model: Callable[[], str] = public_pieces) -> DataFr
     schema = ", ".join(f"c{i} {inner.schema[i].dataType.simpleString()}" for i in range(len(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = Pieces.load(model()).values.__getitem__
+        value = _known(model()).pieces.values.__getitem__
         for batch in slices(batches, "ids"):
             raw = (b"".join(map(value, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in batch.column("ids").to_pylist())
             text = [r.decode("utf-8", "replace")[1:] for r in raw]

@@ -8,8 +8,8 @@ the end of a partition its open windows are merged; at most one unfinished windo
 partition is left, and these are merged in groups of GROUP partitions. The last
 window of a group is cut into lengths that are powers of two, which need no padding.
 
-Tokens are made once for each distinct word: the tokenizer's pattern never crosses
-white space, so a text's ids are those of its words in a row.
+Tokens are made once for each distinct word where the tokenizer's pattern never crosses
+white space, so that a text's ids are those of its words in a row.
 
 Defined results: a null text counts as empty and gives the end id only; a null
 doc_id stays null; repeated rows are packed once each; an empty table gives no
@@ -18,13 +18,13 @@ pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,8 +44,7 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: Fixed by the tokenizer's file: its pattern, and the characters that stand for bytes.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Fixed by the public format of byte-level vocabularies: the bytes that stand for themselves.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
@@ -55,11 +54,30 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def word_pattern(file: dict) -> str | None:
+    """The pattern by which a tokenizer file splits text, if a text's ids are those of its words in a row; else None.
+
+    That holds for a lower-casing normaliser, a pattern whose matches hold no white space and all else is removed, byte-level
+    pieces, and added tokens that are matched as they stand."""
+    steps = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    normal = [x["type"] for x in (file.get("normalizer") or {}).get("normalizers", [])]
+    if [x["type"] for x in steps] != ["Split", "ByteLevel"] or normal != ["NFC", "Replace", "Lowercase"] or file["model"]["type"] != "BPE":
+        return None
+    split, level = steps
+    pattern = split["pattern"].get("Regex")
+    if not pattern or split["behavior"] != "Removed" or not split["invert"] or level["add_prefix_space"] or level["use_regex"]:
+        return None
+    if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or t["content"].split() != [t["content"]] or t["content"].isalpha() for t in file["added_tokens"]):
+        return None
+    return pattern if r"[^\s" in pattern else None
+
+
 class WordTokens(dict):
     """Token ids (little-endian 32-bit) by word; words are looked up many at a time.
 
     Words of Latin-1 characters are in normal form and split by the pattern alone, so their
-    parts go straight to the tokenizer's merges; other words go through all of it."""
+    parts go straight to the tokenizer's merges; other words, and those that hold an added
+    token, go through all of it. Where a tokenizer doesn't split by words, whole texts do."""
 
     def __init__(self, path: str, most: int = 600_000):
         super().__init__()
@@ -68,38 +86,46 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.most, self.split = most, regex.compile(PATTERN).findall
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        pattern = word_pattern(file)
+        self.most, self.split = most, pattern and regex.compile(pattern).findall
+        self.added = [t["content"] for t in file["added_tokens"]]
         self.chars = byte_characters()
 
+    def encoded(self, texts: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(texts), 20_000):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False):
+                yield np.array(e.ids, dtype="<u4").tobytes()
+
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > self.most:
             self.clear()
             new = list(words)
-        hard, split, chars = [], self.split, self.chars
+        hard, split, chars, added = [], self.split, self.chars, self.added
         merge, pack, forms = self.tokenizer.model.tokenize, struct.pack, [f"<{n}I" for n in range(64)]
         for w in new:
             s = w.decode()
             if s.isascii() and s.isalpha():
                 ids = [t.id for t in merge(s.lower())]
-            elif s.isprintable() and (s.isascii() or max(s) < "\u0100"):
+            elif s.isprintable() and (s.isascii() or max(s) < "\u0100") and not any(x in s for x in added):
                 ids = [t.id for p in split(s.lower()) for t in merge(p if p.isascii() else "".join([chars[b] for b in p.encode()]))]
             else:
-                hard.append((w, s))
+                hard.append(w)
                 continue
             n = len(ids)
             self[w] = pack(forms[n] if n < 64 else f"<{n}I", *ids)
-        for i in range(0, len(hard), 20_000):
-            part = hard[i : i + 20_000]
-            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([s for _, s in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self.update(zip(hard, self.encoded([w.decode() for w in hard]), strict=True))
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text and the end id, as bytes."""
+        end = np.array([END_ID], dtype="<u4").tobytes()
+        if not self.split:
+            yield from (ids + end for ids in self.encoded([t.decode() for t in texts]))
+            return
         split = [t.split() for t in texts]
         self.learn(set().union(*split))
-        end = np.array([END_ID], dtype="<u4").tobytes()
         for words in split:
             yield b"".join(map(self.__getitem__, words)) + end
 
@@ -189,19 +215,19 @@ def pack(docs: DataFrame, tokenizer: Callable[[], str] = public_tokenizer, keep_
         if rows:
             yield flush()
 
-    def merge(key: tuple, left: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, left: pa.Table) -> pa.Table:
         """At most GROUP unfinished windows meet here."""
         rows, count = [], 0
 
         def emit(pieces: list, _: int) -> None:
             nonlocal count
-            _rows(pieces, (1 << 62) | (int(key[0]) << 20) | count, keep_ids, rows)
+            _rows(pieces, (1 << 62) | (key[0].as_py() << 20) | count, keep_ids, rows)
             count += 1
 
         packer = Packer(emit, window, 1)
-        left = left.sort_values(["part", "doc_id", "start"], na_position="first")
-        for doc, start, ids, total in zip(left["doc_id"], left["start"], left["ids"], left["doc_tokens"], strict=True):
-            packer.add(None if pd.isna(doc) else doc, bytes(ids), int(start), int(total))
+        left = left.sort_by([("part", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
+        for doc, start, ids, total in zip(*(left[c].to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True):
+            packer.add(doc, ids, start, total)
         rest = packer.close()
         n = sum(len(p[2]) // 4 for p in rest)
         while rest:  # powers of two, the largest first
@@ -215,10 +241,12 @@ def pack(docs: DataFrame, tokenizer: Callable[[], str] = public_tokenizer, keep_
                     rest.insert(0, [doc, start + cut, ids[4 * cut :], total])
                 room -= cut
             emit(now, 0)
-        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "part"]).astype({"doc_id": left["doc_id"].dtype})
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "part"]
+        types = [left.schema.field("doc_id").type, *[pa.int64()] * 6, pa.binary(), pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     # Tokens are made once: the unfinished windows are read from the stored rows.
     pieces = durable(docs.mapInArrow(fill, fields))
-    left = pieces.where(F.col("part").isNotNull()).groupBy((F.col("part") / GROUP).cast("long").alias("g")).applyInPandas(merge, fields)
+    left = pieces.where(F.col("part").isNotNull()).groupBy((F.col("part") / GROUP).cast("long").alias("g")).applyInArrow(merge, fields)
     out = pieces.where(F.col("part").isNull()).unionByName(left).drop("part")
     return out if keep_ids else out.drop("ids")

@@ -3,7 +3,9 @@
 A text's k-mers are runs of K words (very long words are cut into pieces first). Each
 k-mer is numbered by its occurrence, so repeats count. The hash range is cut into BINS;
 each bin is one of the sketch's permutations: its PICK smallest occurrence-numbered
-k-mers are kept, put back into text order and hashed together. Likeness is the share
+k-mers are kept, put back into text order and hashed together. A bin with one of them
+borrows the next smallest hash of the bins after it (around the end), so a short text's
+tuples carry order too; only a text of one k-mer has none. Likeness is the share
 of bins that agree among those that either text fills, so it drops both when words
 change and when they change places.
 
@@ -55,9 +57,9 @@ def sketch(df: DataFrame, text: str, out: str = "sketch") -> DataFrame:
     d = d.selectExpr(*keep, "e", f"transform(array({most}), m -> transform(sequence({-BINS // 2}L, {BINS // 2 - 1}L), i -> try_element_at(m, i)))[0] AS m")
     d = d.selectExpr(*keep, f"sort_array(transform(array(m), m -> filter(e, x -> x.h <= get(m, CAST({at('x.h')} + {BINS // 2} AS int))))[0]) AS s")
     bin_of = lambda e: at(f"{e}.h")
-    # Now each bin has at most PICK = 2 entries, side by side.
-    pair = f"{bin_of('get(s, i + 1)')} <=> {bin_of('e')}"
-    mark = f"IF({pair}, IF(e.p <= get(s, i + 1).p, xxhash64(e.h, get(s, i + 1).h), xxhash64(get(s, i + 1).h, e.h)), xxhash64(e.h))"
+    # Now each bin has at most PICK = 2 entries, side by side; the entry after the first one is in its bin or is borrowed.
+    other = "get(s, (i + 1) % size(s))"
+    mark = f"CASE WHEN size(s) = 1 THEN xxhash64(e.h) WHEN e.p <= {other}.p THEN xxhash64(e.h, {other}.h) ELSE xxhash64({other}.h, e.h) END"
     entries = f"filter(transform(s, (e, i) -> IF({bin_of('get(s, i - 1)')} <=> {bin_of('e')}, NULL, struct(CAST({bin_of('e')} AS int) AS bin, CAST({mark} & 2147483647 AS int) AS mark))), x -> x IS NOT NULL)"
     return d.selectExpr(*keep, f"transform(array(map_from_entries({entries})), m -> transform(sequence({-BINS // 2}, {BINS // 2 - 1}), i -> try_element_at(m, i)))[0] AS `{out}`")
 
@@ -98,6 +100,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     # id and salt name a document; a null id is told apart by the salt.
     rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.col("doc_id").isNull(), t).alias("salt"), t.alias("t"))
     sizes = rows.select("id", "salt", F.length("t").cast("long").alias("n")).distinct()
+    rows = rows.dropDuplicates(["id", "salt"])
     keys = with_neighbours(sizes, ["id", "salt"], int(spark.conf.get("spark.sql.shuffle.partitions")))
     whole = rows.join(keys.hint("merge"), ["id", "salt"])
     heads = whole.select(F.col("prev.id").alias("id"), F.col("prev.salt").alias("salt"), F.expr("substring(t, 1, CAST(prev.n div 4 AS int))").alias("head"))

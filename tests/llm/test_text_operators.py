@@ -1,11 +1,15 @@
 """Each text operator against brute force or planted cases, and on odd rows: nulls, empty and long texts, ties, repeats, no rows, clashing columns."""
 
+import hashlib
 import random
+import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strandloom.llm import components, fingerprints, language_model, line_quality, ngram_join, packing, passages, pieces, quality, sharding, toxicity
@@ -79,6 +83,70 @@ def test_fingerprints_of_odd_rows(odd, none):
     assert by[8].near_next == 1.0 and by[4].near_next == 0.0
 
 
+def _hash(*values):
+    """xxhash64 of a row of longs, texts and ints (given as one-tuples)."""
+    seed = 42
+    for v in values:
+        b = v.encode() if isinstance(v, str) else struct.pack("<i", *v) if isinstance(v, tuple) else struct.pack("<q", v)
+        seed = xxhash.xxh64_intdigest(b, seed)
+        seed -= (seed >> 63) << 64
+        hashed, seed = seed, seed % (1 << 64)
+    return hashed
+
+
+def _sketch(text):
+    w = [x for x in re.split("[ \t\n\x0b\f\r]+", text) if x]
+    if any(len(x.encode()) > 48 for x in w):
+        w = [p for x in w for p in (re.findall(".{1,12}", x) if len(x.encode()) > 48 else [x])]
+    h = [_hash(x) for x in w]
+    g = [_hash(*h)] if 0 < len(h) < 3 else [_hash(*h[i : i + 3]) for i in range(len(h) - 2)]
+    seen, entries = Counter(), []
+    for p, x in enumerate(g):
+        entries.append((_hash(x, (seen[x],)), p))
+        seen[x] += 1
+    bins = {}
+    for e in sorted(entries):
+        bins.setdefault(e[0] >> 59, []).append(e)
+    kept = [e for b in sorted(bins) for e in bins[b][:2]]
+    out = ["-"] * 32
+    for i, e in enumerate(kept):
+        if i and kept[i - 1][0] >> 59 == e[0] >> 59:
+            continue
+        other = kept[(i + 1) % len(kept)]
+        pair = [e] if len(kept) == 1 else sorted((e, other), key=lambda x: x[1])
+        out[(e[0] >> 59) + 16] = f"{_hash(*(x[0] for x in pair)) & 0x7FFFFFFF:x}"
+    return ".".join(out)
+
+
+def test_fingerprints_match_brute_force(spark):
+    texts = [t or "" for t in ODD if t != ODD[6]] + [prose(n, n) for n in (3, 4, 9, 25, 34, 300)] + [f"{prose(40, 5)} {prose(40, 5)} {prose(9, 6)}", "a b c d " * 30]
+    got = {r.doc_id: r for r in fingerprints.compare_with_next(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        edited_text = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        r = got[i + 1]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited_text.encode()).hexdigest()
+        assert r.fingerprint == _sketch(t) and r.edited_fingerprint == _sketch(edited_text)
+        for other, near in ((edited_text, r.near_edited), (after, r.near_next)):
+            a, b = _sketch(t).split("."), _sketch(other).split(".")
+            some = sum(x != "-" or y != "-" for x, y in zip(a, b, strict=True))
+            assert near == (sum(x == y != "-" for x, y in zip(a, b, strict=True)) / some if some else 1.0)
+
+
+def test_fingerprints_of_short_texts_carry_order(spark):
+    pairs = [prose(24, 400 + i).split() for i in range(10)]
+    texts = [" ".join(x) for w in pairs for x in (w, w[12:] + w[:12])]
+    got = {r.doc_id: r for r in fingerprints.compare_with_next(table(spark, texts)).collect()}
+    # Two of 22 k-mers change, but half of all pairs change places.
+    assert np.mean([got[i].near_next for i in range(1, 20, 2)]) < 0.75
+
+
+def test_fingerprints_of_equal_rows_are_one(spark):
+    docs = spark.range(10_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(prose(40, 1)).alias("text")).unionByName(table(spark, [prose(40, 2)], [6]).select("doc_id", "text"))
+    got = {r.doc_id: r for r in fingerprints.compare_with_next(docs).collect()}
+    assert len(got) == 2 and got[5].fingerprint == _sketch(prose(40, 1))
+
+
 def test_sharding_splits_only_what_is_too_large(spark):
     docs = table(spark, [prose(R.randint(1, 300), i) for i in range(300)])
     out = sharding.shard(docs, 20_000).collect()
@@ -212,6 +280,44 @@ def test_a_passage_is_settled_only_by_a_link_over_it(spark):
         assert out[i + 1].n_dup_words < 70 and out[i + 2].n_dup_words >= 110
 
 
+def test_a_settled_text_still_meets_those_that_the_hub_does_not_match(spark):
+    """The middle text of three matches both others, which differ from it in one word each; the first is the hub."""
+    texts = []
+    for i in range(30):
+        w = prose(60, 11_000 + i).split()
+        one, two = [*w[:20], "first", *w[21:]], [*w[:40], "second", *w[41:]]
+        texts += [f"{prose(30, 12_000 + 3 * i + k)} {' '.join(x)} {prose(30, 13_000 + 3 * i + k)}" for k, x in enumerate((one, w, two))]
+    out = {r.doc_id: r for r in passages.dedup(table(spark, texts)).collect()}
+    assert np.mean([out[i + 2].class_id == i for i in range(1, 90, 3)]) > 0.95
+    assert np.mean([out[i + 2].n_dup_words >= 50 for i in range(1, 90, 3)]) > 0.95
+
+
+def test_thousands_with_one_line_in_common_fall_apart(spark):
+    line = prose(30, 77)
+    texts = [f"{prose(45, 14_000 + i)} {line} {prose(45, 15_000 + i)}" for i in range(400)]
+    texts += [f"{prose(45, 16_000 + i)} {texts[i]}" for i in range(5)]
+    out = {r.doc_id: r for r in passages.dedup(table(spark, texts)).collect()}
+    assert all(out[401 + i].class_id == i + 1 and out[401 + i].n_dup_words == 120 for i in range(5))
+    assert all(out[i].class_id == i and out[i].n_dup_words == 0 for i in range(1, 401))
+
+
+def test_texts_of_one_id_and_of_none_are_told_apart(spark):
+    """Three texts under a null id and three under id 5: a copy, a near copy of document 3, an unrelated one."""
+    base, free = prose(120, 21), [prose(120, 22), prose(120, 23)]
+    near = " ".join([*base.split()[:119], "end"])
+    texts, ids = [base, base, near, free[0], base, near + " more", free[1]], [3, 5, 5, 5, None, None, None]
+    docs = table(spark, texts, ids)
+    got = {(r.doc_id, r.text_hash): r for r in passages.dedup(docs).collect()}
+    h = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    for i, t, c, n in [(3, 0, 3, 0), (5, 1, 3, 120), (5, 2, 3, 119), (5, 3, 5, 0), (None, 4, 3, 120), (None, 5, 3, 120), (None, 6, None, 0)]:
+        r = got[i, h[texts[t]]]
+        assert (r.class_id, r.n_dup_words) == (c, n) or (t == 5 and r.n_dup_words >= 119 and r.class_id == 3)
+    groups = sorted(((r.doc_id, r.component_id) for r in ngram_join.join(docs, 4, 85, 100).collect()), key=str)
+    assert groups == sorted([(3, 3), (5, 3), (5, 3), (5, 5), (None, 3), (None, 3), (None, None)], key=str)
+    left = ngram_join.one_of_each(docs, 5, 8, 10).collect()
+    assert sorted(r.text for r in left) == sorted([base, *free])
+
+
 def test_runs_found_elsewhere_dont_part_a_passage():
     a = np.arange(1, 66, dtype=np.uint64)
     b = np.concatenate([a[:30], np.arange(100, 105, dtype=np.uint64), a[35:], np.arange(200, 300, dtype=np.uint64), a[32:33]])
@@ -265,10 +371,9 @@ def test_components(spark):
 def test_packing_keeps_every_id_once(spark):
     from tokenizers import Tokenizer
 
-    texts = [*ODD, "It's  Ünïcode x’s 12345 İ", *(prose(R.randint(1, 900), i) for i in range(80))]
+    texts = [*ODD, "It's  Ünïcode x’s 12345 İ", "a<|endoftext|>b <|startoftext|> <|ENDOFTEXT|>", *(prose(R.randint(1, 900), i) for i in range(80))]
     rows = packing.pack(table(spark, texts), keep_ids=True).collect()
     tok = Tokenizer.from_file(packing.public_tokenizer())
-    tok.encode_special_tokens = True
     want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts, 1)}
     docs, seqs = {}, {}
     for r in rows:
@@ -289,6 +394,25 @@ def test_packing_keeps_every_id_once(spark):
     assert padding == 0
 
 
+def test_packing_keeps_large_ids_next_to_null_ones(spark):
+    ids = [2**53 + 1, None, -(2**63), 2**63 - 1]
+    rows = spark.createDataFrame([(i, prose(30, k)) for k, i in enumerate(ids)], "doc_id long, text string")
+    assert {r.doc_id for r in packing.pack(rows).collect()} == set(ids)
+
+
+def test_packing_takes_tokenizers_that_dont_split_by_words(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = lambda: public_tokenizers.path("byte_bpe_50k.json")
+    texts = [x for x in ODD if x] + ["two  words\n\n and lines"]
+    tok, got = Tokenizer.from_file(path()), {}
+    for r in packing.pack(table(spark, texts), tokenizer=path, keep_ids=True).collect():
+        got.setdefault(r.doc_id, {})[r.start] = list(np.frombuffer(r.ids, "<u4"))
+    for i, t in enumerate(texts, 1):
+        assert [x for _, p in sorted(got[i].items()) for x in p] == [*tok.encode(t, add_special_tokens=False).ids, 1]
+
+
 def test_classifiers_learn(spark):
     r = random.Random(9)
     texts, rows = [], []

@@ -37,21 +37,21 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import blocked, sent
 from .common import discard, durable, met, raw_texts, slices
 from .components import components
 from .shingles import mix, roots, sets, shingles, sums, words
 
 #: Lists up to this length give pairs; of longer ones, blocks of about BLOCK members are compared.
-SHORT, BLOCK = 24, 256
+SHORT, BLOCK = 24, 1024
 #: Rows that verifying one candidate costs, next to emitting one row.
 VERIFY = 2
 #: Sets up to this size are keyed both ways to find the boundary; none enumerates more than SUBSETS subsets.
 MEASURED, SUBSETS = 40, 1000
-#: About so many sets are compared with one copy of a set.
-SPREAD = 256
 NO_ID = (1 << 63) - 1
 
 class Plan:
@@ -247,36 +247,30 @@ def held_sets(docs: DataFrame, own: DataFrame, nodes: DataFrame, k: int) -> Data
 
 
 def verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked) of distinct pairs (a, b). A set is sent once for about SPREAD others."""
+    """(a, b, linked) of distinct pairs (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come by a and salt, the set of a first.
-        base = np.zeros(0, np.int64)
+        # Rows come by block, its sets first, then its pairs.
+        block, own = None, {}
         for batch in batches:
-            lists, size = batch.column("s"), batch.column("size").to_numpy()
-            s, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)])
-            own = batch.column("own").to_numpy(zero_copy_only=False)
-            linked = np.zeros(len(own), dtype=bool)
-            starts = np.flatnonzero(own)
-            for lo, hi in zip([0, *starts], [*starts, len(own)], strict=True):
-                if lo < len(own) and own[lo]:
-                    base, lo = s[ends[lo] : ends[lo + 1]], lo + 1
-                if lo == hi:
+            lists, hubs = batch.column("s"), batch.column("hub").to_pylist()
+            s = lists.flatten().to_numpy().view(np.uint64)
+            ends = np.concatenate([[0], np.cumsum(np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))]).astype(np.int64)
+            out = []
+            for i, (of, m, hub) in enumerate(zip(batch.column("block").to_pylist(), batch.column("m").to_pylist(), hubs, strict=True)):
+                if of != block:
+                    block, own = of, {}
+                if hub is None:
+                    own[m] = s[ends[i] : ends[i + 1]].copy()
                     continue
-                some = s[ends[lo] : ends[hi]]
-                at = np.searchsorted(base.view(np.uint64), some.view(np.uint64))
-                hit = np.concatenate([[0], np.cumsum(base[np.minimum(at, len(base) - 1)] == some)])
-                both = hit[ends[lo + 1 : hi + 1] - ends[lo]] - hit[ends[lo:hi] - ends[lo]]
-                linked[lo:hi] = den * both >= num * (size[lo:hi] + len(base) - both)
-            on = pa.array(~own)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(on), batch.column("m").filter(on), pa.array(linked).filter(on)], ["a", "b", "linked"])
-
-    n = pairs.groupBy("a").agg((1 + F.floor(F.count("*") / SPREAD)).cast("int").alias("shares"))
-    dealt = durable(pairs.join(n, "a").select("a", "b", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("salt")))
-    own = dealt.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("m"), F.lit(True).alias("own"))
-    sent = own.unionByName(dealt.select("a", "salt", F.col("b").alias("m"), F.lit(False).alias("own"))).join(held, "m")
-    sent = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("own")).select("a", "m", "own", "size", "s")
-    return sent.mapInArrow(run, "a long, b long, linked boolean")
+                a, b = own[hub], own[m]
+                both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+                out.append((hub, m, den * both >= num * (len(a) + len(b) - both)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["a", "b", "linked"])
+
+    dealt = blocked(pairs.select(F.col("a").alias("hub"), F.col("b").alias("m"), F.lit(1).alias("weight")))
+    return sent(dealt, held, "s").mapInArrow(run, "a long, b long, linked boolean")
 
 
 def _link_blocks(num: int, den: int):
@@ -349,8 +343,8 @@ def links(docs: DataFrame, own: DataFrame, k: int, num: int, den: int) -> DataFr
     i, j = (blocks.select("component", F.col("block").alias(x)) for x in "ij")
     couples = i.where("i.apart").join(j, "component").where("abs(i.class - j.class) <= 1 AND (NOT j.apart OR i <= j)")
     ends = couples.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    sent = placed.join(ends, ["component", "block"]).select("component", "i", "j", "m", "size", "s")
-    return linked.unionByName(sent.groupBy("component", "i", "j").applyInPandas(_link_blocks(num, den), "u long, v long"))
+    both = placed.join(ends, ["component", "block"]).select("component", "i", "j", "m", "size", "s")
+    return linked.unionByName(both.groupBy("component", "i", "j").applyInPandas(_link_blocks(num, den), "u long, v long"))
 
 
 def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:

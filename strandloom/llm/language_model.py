@@ -9,7 +9,8 @@ tokens gives normalised log-probabilities over all units. Within a shared unit a
 has (c + 0.1) / (sum over its words of (c + 0.1) + 0.1), the last term for unseen
 words; so every context has a distribution over all words.
 
-Training: a warm start on WARM documents, then each partition trains on all of its
+Training: a warm start on WARM documents, then each shard (dealt by hash, so that it
+doesn't matter how the table lies in files) trains on all of its
 documents from there, and the results are averaged by tokens. Noise units come from
 the unigram distribution, shared by a minibatch.
 
@@ -42,6 +43,8 @@ UNITS = HEAD + CLUSTERS
 DIM, NEAR, BAG = 16, 3, 17
 BATCH, NOISE, WARM, WARM_ROUNDS = 2048, 32, 2_000, 3
 FEATURES, FIT_WORDS = 16, 20_000
+#: Bytes of text, about, that one task trains on.
+SHARD = 16 << 20
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 400_000
 SMOOTH = 0.1
@@ -317,10 +320,14 @@ def train(docs: DataFrame, words: Words) -> Model:
         return run
 
     bound = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM)
-    sample = docs.join(F.broadcast(bound), "doc_id", "left_semi").select("text").limit(WARM)
+    sample = docs.join(F.broadcast(bound), "doc_id", "left_semi").orderBy(F.xxhash64("text"), "text").select("text").limit(WARM)
     first = sample.mapInArrow(fit(None, WARM_ROUNDS, 0.1, 1e-6), "n double, w array<double>").collect()
     start = np.array(first[0].w) if first else Model.start(words.share).flat()
-    parts = docs.select("text").mapInArrow(fit(start, 1, 0.03, 1e-5), "n double, w array<double>")
+    # Texts are dealt by hash and come in its order, so the result doesn't depend on how the table lies in files.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    mark = F.xxhash64("text")
+    dealt = docs.select("text").repartition(1 + size // SHARD, mark).sortWithinPartitions(mark)
+    parts = dealt.mapInArrow(fit(start, 1, 0.03, 1e-5), "n double, w array<double>")
     mean = parts.select("n", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w"))
     got = sorted((r.i, r.w) for r in mean.collect())  # one row for each weight of the model
     return Model.of(np.array([w for _, w in got]) if got else start)

@@ -43,6 +43,8 @@ UNITS = HEAD + CLUSTERS
 DIM, NEAR, BAG = 16, 3, 17
 BATCH, NOISE, WARM, WARM_ROUNDS = 2048, 32, 2_000, 3
 FEATURES, FIT_WORDS = 16, 20_000
+#: Bytes of text that are worked on at once: a slice's unknown words are placed once.
+TAKEN = 4 << 20
 #: Bytes of text, about, that one task trains on.
 SHARD = 16 << 20
 #: Distinct words that a task counts before it passes them on.
@@ -232,7 +234,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "c"])
-        for batch in slices(batches):
+        for batch in slices(batches, most=TAKEN):
             for t in raw_texts(batch):
                 seen.update(t.lower().split())
             seen[END] += batch.num_rows
@@ -307,10 +309,10 @@ def train(docs: DataFrame, words: Words) -> Model:
                 return u, np.repeat(ends[:-1], np.diff(ends))
 
             if rounds == 1:
-                for batch in slices(batches):
+                for batch in slices(batches, most=TAKEN):
                     trainer.learn(*units(batch))
             else:  # a bounded sample
-                held = [units(batch) for batch in slices(batches)]
+                held = [units(batch) for batch in slices(batches, most=TAKEN)]
                 for _ in range(rounds):
                     for u, first in held:
                         trainer.learn(u, first)
@@ -325,8 +327,8 @@ def train(docs: DataFrame, words: Words) -> Model:
     start = np.array(first[0].w) if first else Model.start(words.share).flat()
     # Texts are dealt by hash and come in its order, so the result doesn't depend on how the table lies in files.
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    mark = F.xxhash64("text")
-    dealt = docs.select("text").repartition(1 + size // SHARD, mark).sortWithinPartitions(mark)
+    mark = F.xxhash64("doc_id", "text")  # copies of a text are spread
+    dealt = docs.repartition(1 + size // SHARD, mark).sortWithinPartitions(mark).select("text")
     parts = dealt.mapInArrow(fit(start, 1, 0.03, 1e-5), "n double, w array<double>")
     mean = parts.select("n", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w"))
     got = sorted((r.i, r.w) for r in mean.collect())  # one row for each weight of the model
@@ -346,7 +348,7 @@ def score(docs: DataFrame, counts: DataFrame, words: Words, model: Model) -> Dat
         log_c = np.log10(known.counts + SMOOTH)
         log_all = math.log10(known.total + SMOOTH * (known.distinct + 1))
         log_mass = np.log10(np.maximum(known.mass, 1e-300))
-        for batch in slices(batches):
+        for batch in slices(batches, most=TAKEN):
             texts = raw_texts(batch)
             tokens, ends = numbered(texts, numbers)
             unit = unit_of(known, numbers.new, table)[tokens]

@@ -54,7 +54,7 @@ def read_fastmap(spark: SparkSession, paths: list[str]) -> DataFrame:
     record = F.sum(F.when(F.col("value").startswith("SQ"), 1).otherwise(0)).over(Window.partitionBy("file").orderBy("line"))
     rows = lines.select("file", record.alias("r"), F.split("value", r"\t").alias("w"))
     head = rows.where("w[0] = 'SQ'").select("file", "r", F.col("w")[1].alias("read_name"), F.col("w")[2].cast("long").alias("read_len"))
-    hits = rows.where("w[0] = 'EM'").select("file", "r", F.col("w")[1].cast("long").alias("qstart"), F.col("w")[2].cast("long").alias("qend"), F.col("w")[3].cast("long").alias("n_hits"), F.slice("w", 5, 1000).alias("hits"))
+    hits = rows.where("w[0] = 'EM'").select("file", "r", F.col("w")[1].cast("long").alias("qstart"), F.col("w")[2].cast("long").alias("qend"), F.col("w")[3].cast("long").alias("n_hits"), F.expr("slice(w, 5, greatest(0, size(w) - 4))").alias("hits"))
     return hits.join(head, ["file", "r"]).drop("file", "r")
 
 

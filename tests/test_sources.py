@@ -70,3 +70,12 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("solid").count() > 0
+
+
+def test_fastmap_keeps_every_hit(spark, tmp_path):
+    from strandloom.sources import alignments
+
+    hits = [f"{i}:+{i}" for i in range(1500)]
+    (tmp_path / "x.fastmap").write_text("SQ\tr1\t100\nEM\t0\t50\t1500\t" + "\t".join(hits) + "\nEM\t50\t100\t0\n//\n")
+    got = {r.qstart: r for r in alignments.read_fastmap(spark, [str(tmp_path / "x.fastmap")]).collect()}
+    assert got[0].hits == hits and got[50].hits == [] and got[0].read_name == "r1" and got[0].read_len == 100

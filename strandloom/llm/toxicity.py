@@ -2,11 +2,12 @@
 
 Voters are lexicons and patterns: a public list of insults, shouting and address
 patterns, and groups of words and word stems that stand out among the labelled rows
-of the training folds, and voters for harmless text. A generative model (latent
-class, fitted by EM, the known label one more voter) estimates each voter's accuracy;
-the residual correlation of voters given the latent class is estimated too, and
-voters that move together share their weight. The posterior labels train a logistic
-regression over words and word stems, which scores all texts.
+of the training folds, and a voter for harmless text. A generative model (latent class,
+fitted by EM) estimates each voter's accuracy from the other voters and from the known
+labels, half each, and the residual correlation of voters given the class; voters that
+move together share their weight. The posterior of a row comes from its votes alone, its
+own label is no voter, and the posteriors, not the labels, train a logistic regression
+over words and word stems, which scores all texts.
 
 Defined results: a null text counts as empty; the empty text gets the score of the
 intercept; a null doc_id belongs to the held-out fold; repeated rows are scored alike;
@@ -33,9 +34,10 @@ STEMS = (4, 5, 6)
 TERMS, SUPPORT = 6_000, 4
 #: Documents that a term must explain anew to be picked.
 COVER = 2
-GROUPS = 12
-#: The accuracy that the known labels are given as a voter.
-TRUST = 0.9999
+#: Terms beyond so many share voters.
+GROUPS = 48
+#: The accuracy that a voter is first taken to have, and for how many votes that counts.
+GUESS, WORTH = 0.9, 8
 THRESHOLD = 0.5
 
 _STRIP = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
@@ -65,27 +67,32 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, known: np.ndarray | None = None, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of class 1, voters' accuracy, voters' correlations) from votes of 1, 0 (abstains) and -1.
 
-    votes: rows by voters, the first voter is the known label. Each class has a
-    distribution over the three votes of each voter. A voter's weight is divided by the
-    sum of its residual correlations with all voters, so copies of a voter count once."""
-    kinds = np.stack([votes == -1, votes == 0, votes == 1], axis=2).astype(float)
-    post = np.clip(np.where(votes[:, 0] > 0, 0.97, np.where(votes[:, 0] < 0, 0.03, prior)), 0.01, 0.99)
+    votes: rows by voters; prior: the share of class 1; known: the rows' labels, 0 or 1, if there
+    are any. A vote is evidence by how often the voter casts it in each class, which is counted
+    over the posteriors, or half over them and half over the labels; abstaining is none. A row's posterior comes from
+    its votes and the share of class 1 only, so it can differ from its label. Voters that cast
+    the same vote in a row divide their weight there by the sum of their residual correlations,
+    so copies of a voter count once. The first posterior is that of a majority vote."""
+    up, down = (votes > 0).astype(float), (votes < 0).astype(float)
+    odds = np.log(prior / (1 - prior))
+    post = 1 / (1 + np.exp(-np.clip(odds + 2 * votes.astype(float).sum(axis=1), -4, 4)))
+    good, bad = WORTH * GUESS, WORTH * (1 - GUESS)
     for _ in range(rounds):
-        one, zero = (np.einsum("n,nvk->vk", q, kinds) + 0.5 for q in (post, 1 - post))
-        one, zero = one / one.sum(axis=1, keepdims=True), zero / zero.sum(axis=1, keepdims=True)
-        one[0], zero[0] = (1 - TRUST, 0.001, TRUST), (TRUST, 0.001, 1 - TRUST)
-        rest = votes - (post[:, None] * (one[:, 2] - one[:, 0]) + (1 - post)[:, None] * (zero[:, 2] - zero[:, 0]))
+        q = post if known is None else (post + known) / 2
+        right_up, wrong_up, wrong_down, right_down = q @ up, (1 - q) @ up, q @ down, (1 - q) @ down
+        n_one, n_zero = max(1e-9, q.sum()), max(1e-9, (1 - q).sum())
+        rest = votes - q[:, None] * (right_up - wrong_down) / n_one - (1 - q)[:, None] * (wrong_up - right_down) / n_zero
         spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
         corr = (rest.T @ rest) / len(rest) / np.outer(spread, spread)
-        share = 1 / np.maximum(1, (corr * (corr > 0.1)).sum(axis=1))
-        share[0] = 1
-        prior = float(np.clip(post.mean(), 1e-3, 1 - 1e-3))
-        z = np.log(prior / (1 - prior)) + np.einsum("nvk,vk->n", kinds, (np.log(one) - np.log(zero)) * share[:, None])
-        post = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    accuracy = prior * one[:, 2] + (1 - prior) * zero[:, 0]
+        alike = np.where(corr > 0.1, corr, 0)
+        of_up = np.log(right_up + good) - np.log(wrong_up + bad) - np.log(n_one / n_zero)
+        of_down = np.log(wrong_down + bad) - np.log(right_down + good) - np.log(n_one / n_zero)
+        said = up / np.maximum(1, up @ alike) @ of_up + down / np.maximum(1, down @ alike) @ of_down
+        post = 1 / (1 + np.exp(-np.clip(odds + said, -40, 40)))
+    accuracy = (right_up + right_down + good) / (up.sum(axis=0) + down.sum(axis=0) + WORTH)
     return post, accuracy, corr
 
 
@@ -140,22 +147,22 @@ def train(texts: list[bytes], y: np.ndarray) -> Classifier:
     owner, flat = owner[kept], at[flat[kept]]
     rate, p, names = rate[chosen], p[chosen], [names[i] for i in chosen]
 
-    # Voters: the label itself, the public list, patterns, groups of terms that stand out, harmless text.
+    # Voters: the public list, a pattern of address, harmless text, terms that stand out.
     strong = np.flatnonzero((rate > 3) & (p >= SUPPORT))
     group = np.full(len(names), -1)
     group[strong] = np.arange(len(strong)) % GROUPS
     listed = np.isin(np.array(names, dtype=object), INSULTS)
-    votes = np.zeros((len(y), 4 + GROUPS), dtype=np.int8)
-    votes[:, 0] = np.where(y > 0, 1, -1)
-    votes[:, 1] = np.bincount(owner, listed[flat], len(y)) > 0
-    votes[:, 2] = votes[:, 1] * np.array([b"you " in t.lower() for t in texts])
+    votes = np.zeros((len(y), 3 + GROUPS), dtype=np.int8)
+    votes[:, 0] = np.bincount(owner, listed[flat], len(y)) > 0
+    votes[:, 1] = votes[:, 0] * np.array([b"you " in t.lower() for t in texts])
     for g in range(GROUPS):
-        votes[:, 4 + g] = np.bincount(owner, group[flat] == g, len(y)) > 0
-    votes[:, 3] = np.where(votes[:, 1:].any(axis=1), 0, -1)
-    post, _, _ = label_model(votes, np_ / len(y))
+        votes[:, 3 + g] = np.bincount(owner, group[flat] == g, len(y)) > 0
+    votes[:, 2] = np.where(votes.any(axis=1), 0, -1)
+    votes = votes[:, (votes != 0).any(axis=0)]
+    post, _, _ = label_model(votes, np_ / len(y), y)
 
     # Logistic regression by Adam over the sparse rows, L2 on the weights.
-    w, b = np.where(rate > 3, 0.3 * np.minimum(rate, 4), 0.0), float(np.log(np_ / nn))
+    w, b = np.zeros(len(names)), float(np.log(np_ / nn))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, 401):
         s = np.bincount(owner, w[flat], len(y)) + b

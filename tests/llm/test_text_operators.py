@@ -441,3 +441,23 @@ def test_label_model_rates_voters():
     votes = np.stack([np.where(r.random(4000) < 0.5, vote(0.99), 0), vote(0.9), noisy, noisy, vote(0.8)], axis=1).astype(np.int8)
     post, accuracy, corr = toxicity.label_model(votes, 0.3)
     assert np.mean((post > 0.5) == y) > 0.93 and accuracy[1] > accuracy[2] and corr[2, 3] > 0.9
+
+
+def test_label_model_weighs_voters():
+    """Accuracies come back (less some for the tenth of the labels that is wrong), copies of a poor voter don't outvote good
+    ones, and a row's own label is no vote."""
+    rng = np.random.default_rng(2)
+    y = (rng.random(4000) < 0.4).astype(float)
+    cast = lambda right: np.where(rng.random(len(y)) < right, y, 1 - y) * 2 - 1
+    good, fair, poor = cast(0.95), cast(0.85), cast(0.6)
+    votes = np.stack([good, fair, poor, poor, poor, poor], axis=1)
+    votes[rng.random(len(y)) < 0.3, 0] = 0
+    known = np.where(rng.random(len(y)) < 0.1, 1 - y, y)
+    post, accuracy, corr = toxicity.label_model(votes, known.mean(), known)
+    assert abs(accuracy[0] - 0.95) < 0.1 and abs(accuracy[1] - 0.85) < 0.1 and abs(accuracy[2] - 0.6) < 0.1
+    assert corr[2, 3] > 0.9 and corr[0, 2] < 0.2
+    majority = np.mean((votes.sum(axis=1) > 0) == (y > 0))
+    found = np.mean((post > 0.5) == (y > 0))
+    assert found > 0.88 and found > majority + 0.1
+    for row in np.unique(votes, axis=0):
+        assert np.ptp(post[(votes == row).all(axis=1)]) < 1e-9

@@ -107,3 +107,23 @@ def contains_path(ids: Column, part: Column) -> Column:
     """Whether part occurs in ids, read either way."""
     text = lambda a: F.concat(F.lit(","), F.array_join(a, ","), F.lit(","))
     return F.contains(text(ids), text(part)) | F.contains(text(ids), text(F.reverse(part)))
+
+
+def common(ids: Column, other: Column) -> Column:
+    return F.array_intersect(ids, other)
+
+
+def union(ids: Column, other: Column) -> Column:
+    """The ids of both, each once, in the order of their first places."""
+    return F.array_union(ids, other)
+
+
+def holds_all(ids: Column, part: Column) -> Column:
+    return F.size(F.array_except(part, ids)) == 0
+
+
+def place_of(ids: Column, part: Column) -> Column:
+    """The 1-based place where part first occurs in ids as it stands, 0 if nowhere."""
+    last = F.size(ids) - F.size(part) + 1
+    places = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.coalesce(F.get(F.filter(places, lambda i: F.slice(ids, i, F.size(part)) == part), F.lit(0)), F.lit(0))

@@ -64,7 +64,7 @@ def merge_halves(found: list[tuple[list[int], int]], anchor: int) -> list[tuple[
     return found
 
 
-def consensus_paths(paths: DataFrame, least: int, most_rows: int = 100_000) -> DataFrame:
+def consensus_paths(paths: DataFrame, least: int) -> DataFrame:
     """(anchor, path, freq): the consensus around each edge that starts a path group.
 
     paths: read_id, path. Rows are gathered by anchor; equal paths are counted before, so a

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bases import reverse_complement
 from ..plans.tables import durable
 
 
@@ -73,3 +74,33 @@ def neighbourhood(edges: DataFrame, start: DataFrame, budget: int, length: str =
         found = both.drop("better")
         if not front.head(1):
             return found
+
+
+def shared_node(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds node_id to pairs (a, b) of edges: a's start if b has it at either end, else a's end, else 0."""
+    of = lambda n: edges.select(F.col("edge_id").alias(n), F.col("start_nid").alias(f"{n}_s"), F.col("end_nid").alias(f"{n}_e"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    at = lambda c: (F.col(c) > 0) & ((F.col(c) == F.col("b_s")) | (F.col(c) == F.col("b_e")))
+    node = F.when(at("a_s"), F.col("a_s")).when(at("a_e"), F.col("a_e")).otherwise(F.lit(0))
+    return both.select("a", "b", node.cast("long").alias("node_id"))
+
+
+def other_side(ends: DataFrame) -> DataFrame:
+    """(edge_id, end_of, next_id): the edges on the other side of the node at each end of an edge."""
+    near = ends.select("node_id", F.when(F.col("side") == "in", "out").otherwise("in").alias("side"), F.col("edge_id").alias("next_id"))
+    return ends.join(near, ["node_id", "side"]).select("edge_id", "end_of", "next_id").distinct()
+
+
+def turn_self_cycles(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """edges (edge_id, start_nid, end_nid, seq), those from a node to itself read so that they begin with the node's sequence.
+
+    nodes has node_id and node, the canonical (k-1)-mer."""
+    at = edges.join(nodes.select(F.col("node_id").alias("start_nid"), "node"), "start_nid", "left")
+    off = (F.col("start_nid") == F.col("end_nid")) & (F.left("seq", F.lit(k - 1)) != F.col("node"))
+    return at.select("edge_id", "start_nid", "end_nid", F.when(F.coalesce(off, F.lit(False)), reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+
+
+def edge_totals(edges: DataFrame) -> DataFrame:
+    """(n_edges, bases, shortest, longest) of edges with seq."""
+    n = F.length("seq").cast("long")
+    return edges.agg(F.count("*").alias("n_edges"), F.sum(n).alias("bases"), F.min(n).alias("shortest"), F.max(n).alias("longest"))

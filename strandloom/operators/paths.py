@@ -48,7 +48,6 @@ def greedy_consensus(freq: DataFrame, least: int) -> DataFrame:
     ordered = Window.orderBy("col")
     edge = d.select("col", "state", (F.row_number().over(ordered) - 1).alias("i")).where("state <> 'kept' OR col <> i")
     first = edge.agg(F.min(F.struct("col", "i", "state")).alias("x")).select("x.*")
-    bad = (F.col("state") == "conflict") & (F.col("x_col") == F.col("x_i"))
     joined = d.crossJoin(F.broadcast(first.select(F.col("col").alias("x_col"), F.col("i").alias("x_i"), F.col("state").alias("x_state"))))
     bad = F.coalesce((F.col("x_state") == "conflict") & (F.col("x_col") == F.col("x_i")), F.lit(False))
     return joined.where((F.col("state") == "kept") & (F.col("x_col").isNull() | (F.col("col") < F.col("x_i"))) & ~bad).select("col", "edge_id", "top")
@@ -80,3 +79,38 @@ def pair_paths(hits: DataFrame) -> DataFrame:
 
 def without_repeats(paths: DataFrame) -> DataFrame:
     return paths.where(F.size(F.array_distinct("ids")) == F.size("ids"))
+
+
+def chained(hits: DataFrame, edges: DataFrame) -> DataFrame:
+    """(pair_id, mate, connected): whether a mate's hits, in the order of start, then edge, go along joined edges.
+
+    hits has pair_id, mate, start, edge_id. The first two must share a node; from it each further edge leads to its other end."""
+    ends = hits.join(edges.select("edge_id", "start_nid", "end_nid"), "edge_id")
+    x = F.sort_array(F.collect_list(F.struct("start", "edge_id", F.col("start_nid").alias("s"), F.col("end_nid").alias("e"))))
+    lists = ends.groupBy("pair_id", "mate").agg(x.alias("x"))
+    a, b = F.col("x")[0], F.col("x")[1]
+    joint = F.when((a["s"] == b["s"]) | (a["e"] == b["s"]), b["s"]).when((a["s"] == b["e"]) | (a["e"] == b["e"]), b["e"])
+    step = lambda n, y: F.when(y["s"] == n, y["e"]).when(y["e"] == n, y["s"])
+    last = F.aggregate(F.slice("x", F.lit(3), F.greatest(F.lit(0), F.size("x") - 2)), F.col("n"), step)
+    return lists.withColumn("n", F.when(F.size("x") > 1, joint)).select("pair_id", "mate", ((F.size("x") < 2) | last.isNotNull()).alias("connected"))
+
+
+def collected(paths: DataFrame) -> DataFrame:
+    """(path_id, ids) of paths that are longer than 3 without the zero at either end, reversed."""
+    ids = F.col("ids")
+    head = F.when(ids[0] == 0, F.slice("ids", F.lit(2), F.size("ids"))).otherwise(ids)
+    tail = F.when(F.element_at("t", -1) == 0, F.slice("t", F.lit(1), F.size("t") - 1)).otherwise(F.col("t"))
+    cut = paths.where(F.size("ids") > 3).select("path_id", head.alias("t")).select("path_id", tail.alias("ids"))
+    return cut.where(F.size("ids") > 3).select("path_id", F.reverse("ids").alias("ids"))
+
+
+def path_bases(paths: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """(path_id, bases) of each path's sequence, whose edges (edge_id, len) overlap in k - 1 bases."""
+    at = paths.select("path_id", F.explode("ids").alias("edge_id")).join(edges.select("edge_id", "len"), "edge_id")
+    return at.groupBy("path_id").agg((F.sum(F.col("len") - (k - 1)) + (k - 1)).cast("long").alias("bases"))
+
+
+def totals(bases: DataFrame) -> DataFrame:
+    """(n_paths, bases, mean) over all paths; the mean without its fraction, null without paths."""
+    out = bases.agg(F.count("*").alias("n_paths"), F.coalesce(F.sum("bases"), F.lit(0)).alias("bases"))
+    return out.select("n_paths", "bases", F.expr("bases div nullif(n_paths, 0)").alias("mean"))

@@ -69,3 +69,11 @@ def read_local(spark: SparkSession, paths: list[str], k: int) -> DataFrame:
     rows = rows.where(F.col("aln_len") >= k * 2 // 3)
     diff = F.round((F.col("qry_e") - F.col("qry_b") + F.col("ref_e") - F.col("ref_b")) * (1 - F.col("idty")) / 2).cast("long")
     return rows.withColumn("diff", diff).withColumn("identity", 1 - F.col("diff") / F.col("aln_len")).drop("idty")
+
+
+def read_alignment_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(read_id, step, id, start, stop): the steps of lines `read<tab>id:start:stop..`, numbered from 0."""
+    w = F.split("value", r"\t")
+    at = spark.read.text(paths).where("value <> ''").select(w[0].cast("long").alias("read_id"), F.posexplode(F.slice(w, F.lit(2), F.size(w))).alias("step", "x"))
+    part = lambda i: F.split("x", ":")[i].cast("long")
+    return at.where("x <> ''").select("read_id", "step", part(0).alias("id"), part(1).alias("start"), part(2).alias("stop"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed keys of the format.
@@ -50,6 +51,18 @@ def read_config(spark: SparkSession, path: str, corrected: bool = False) -> Data
     return spark.createDataFrame([tuple(x[f.name] for f in SCHEMA) for x in parse_config(text, corrected)], SCHEMA)
 
 
+def long_read_files(libraries: DataFrame) -> DataFrame:
+    """(name, file) of the libraries of long reads, whose seq_profile is 2."""
+    return libraries.where("seq_profile = 2").select("name", F.explode("files").alias("file"))
+
+
+def format_of(path: Column) -> Column:
+    """fa or fq of a path column by the rule of read_format, null for neither."""
+    parts = F.slice(F.reverse(F.split(path, r"\.")), F.lit(1), F.least(F.lit(2), F.size(F.split(path, r"\.")) - 1))
+    kind = F.transform(parts, lambda p: F.when(p.isin("fa", "fasta"), "fa").when(p.isin("fq", "fastq"), "fq"))
+    return F.get(F.filter(kind, lambda k: k.isNotNull()), F.lit(0))
+
+
 def read_format(path: str) -> str:
     """fa or fq, from the last suffix or the one before a packing suffix."""
     for part in path.split(".")[:0:-1][:2]:

@@ -52,6 +52,11 @@ def dot_text(edges: DataFrame, most: int = 10_000) -> str:
     return "\n".join(["digraph G {", *(f'  {r.start_nid} -> {r.end_nid} [label="{r.edge_id} len:{r.len}"];' for r in sorted(rows)), "}"])
 
 
+def debug_lines(table: DataFrame) -> DataFrame:
+    """Each row as name:value pairs, for reading by eye."""
+    return table.select(F.concat_ws("\t", *(F.concat(F.lit(f"{c}:"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in table.columns)).alias("value"))
+
+
 def gap_lines(gaps: DataFrame) -> DataFrame:
     return gaps.select((F.col("stop") - F.col("begin")).cast("string").alias("value"))
 

@@ -3,9 +3,10 @@
 Words are counted over all training documents. The most frequent words, and the end
 of a text, are units of their own; all other words, unseen ones too, share CLUSTERS
 units by their spelling (k-means of hashed letter triples). A unit's probability is
-the softmax of q . R[u] + b[u], where q adds a vector for each of the last NEAR units
-and one for the units before them (BAG of them), so one matrix product for a batch of
-tokens gives normalised log-probabilities over all units. Within a shared unit a word
+the softmax of q . R[u] + b[u], where q adds a vector for each of the last NEAR words
+and one for the words before them (BAG of them), so one matrix product for a batch of
+tokens gives normalised log-probabilities over all units. The CONTEXT most frequent words
+have context vectors of their own, the others share their cluster's. Within a shared unit a word
 has (c + 0.1) / (sum over its words of (c + 0.1) + 0.1), the last term for unseen
 words; so every context has a distribution over all words.
 
@@ -40,7 +41,11 @@ END = b"\n"  # never a word
 VOCAB = 1 << 18
 HEAD, CLUSTERS = 128, 64
 UNITS = HEAD + CLUSTERS
+#: Words with context vectors of their own; the others share their cluster's.
+CONTEXT = 4096
+BEFORE = CONTEXT + CLUSTERS
 DIM, NEAR, BAG = 16, 3, 17
+WIDE = (NEAR + 1) * DIM
 BATCH, NOISE, WARM, WARM_ROUNDS = 2048, 32, 2_000, 3
 FEATURES, FIT_WORDS = 16, 20_000
 #: Bytes of text that are worked on at once: a slice's unknown words are placed once.
@@ -130,59 +135,75 @@ def unit_of(words: Words, new: list[bytes], table: np.ndarray) -> np.ndarray:
     return np.concatenate([words.units, HEAD + nearest(spelling(new, table), words.centers)]) if new else words.units
 
 
+def context_of(words: Words, units: np.ndarray) -> np.ndarray:
+    """Context rows of words by number: their own for the first ones, their cluster's for the others."""
+    n = np.arange(len(units))
+    return np.where(n < min(CONTEXT, len(words.words)), n, CONTEXT + units - HEAD)
+
+
 @dataclass
 class Model:
-    """rows of R (units), b, and context vectors: NEAR tables and one for the bag; unit UNITS stands before a text."""
+    """Rows of R (units), b, and context vectors: a row holds NEAR vectors, one for each distance, and one for the bag; row BEFORE stands before a text."""
 
     out: np.ndarray
     bias: np.ndarray
     near: np.ndarray
-    bag: np.ndarray
 
     @staticmethod
     def start(share: np.ndarray) -> Model:
         rng = np.random.default_rng(11)
         small = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        return Model(small(UNITS, DIM), np.log(np.maximum(share, 1e-7)).astype(np.float32), small(NEAR, UNITS + 1, DIM), small(UNITS + 1, DIM))
+        return Model(small(UNITS, DIM), np.log(np.maximum(share, 1e-7)).astype(np.float32), small(BEFORE + 1, WIDE))
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.out, self.bias, self.near, self.bag)])
+        return np.concatenate([x.ravel() for x in (self.out, self.bias, self.near)])
 
     @staticmethod
     def of(flat: np.ndarray) -> Model:
-        shapes = [(UNITS, DIM), (UNITS,), (NEAR, UNITS + 1, DIM), (UNITS + 1, DIM)]
+        shapes = [(UNITS, DIM), (UNITS,), (BEFORE + 1, WIDE)]
         parts = np.split(np.asarray(flat, dtype=np.float32), np.cumsum([math.prod(s) for s in shapes])[:-1])
         return Model(*(p.reshape(s).copy() for p, s in zip(parts, shapes, strict=True)))
 
-    def query(self, units: np.ndarray, first: np.ndarray, a: int, b: int) -> tuple[np.ndarray, list, tuple]:
+    def query(self, context: np.ndarray, first: np.ndarray, a: int, b: int) -> tuple[np.ndarray, tuple]:
         """Query vectors of tokens a..b; first: where each token's text starts."""
         at = np.arange(a, b)
-        near = [np.where(at - k >= first[a:b], units[np.maximum(0, at - k)], UNITS) for k in range(1, NEAR + 1)]
         base = max(0, a - NEAR - BAG)
+        rows = self.near[context[base:b]]
         sums = np.zeros((b - base + 1, DIM), dtype=np.float32)
-        np.cumsum(self.bag[units[base:b]], axis=0, out=sums[1:])
-        hi = np.maximum(at - NEAR, first[a:b])
-        lo = np.maximum(at - NEAR - BAG, first[a:b])
-        hi, lo = np.maximum(hi - base, 0), np.maximum(lo - base, 0)
-        q = (sums[hi] - sums[lo]) * np.float32(1 / BAG)
-        for table, u in zip(self.near, near, strict=True):
-            q += table[u]
-        return q, near, (base, lo, hi)
-
-    def log_probs(self, units: np.ndarray, first: np.ndarray) -> np.ndarray:
+        np.cumsum(rows[:, NEAR * DIM :], axis=0, out=sums[1:])
+        hi = np.maximum(np.maximum(at - NEAR, first[a:b]) - base, 0)
+        lo = np.maximum(np.maximum(at - NEAR - BAG, first[a:b]) - base, 0)
+        q = sums[hi]
+        q -= sums[lo]
+        q *= np.float32(1 / BAG)
+        none = []  # tokens with no word at a distance
+        for k in range(1, NEAR + 1):
+            part = slice((k - 1) * DIM, k * DIM)
+            out = np.flatnonzero(at - k < first[a:b])
+            q += rows[np.maximum(at - k - base, 0), part]
+            if len(out):
+                q[out] += self.near[BEFORE, part] - rows[np.maximum(at[out] - k - base, 0), part]
+            none.append(out)
+        return q, (base, lo, hi, none)
+
+    def log_probs(self, units: np.ndarray, context: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log-probability of each token's unit, normalised over all units."""
-        out = np.empty(len(units))
-        for a in range(0, len(units), 4 * BATCH):
-            b = min(len(units), a + 4 * BATCH)
-            q, _, _ = self.query(units, first, a, b)
-            s = q @ self.out.T
+        res = np.empty(len(units))
+        ones = np.ones(UNITS, dtype=np.float32)
+        turned = np.ascontiguousarray(self.out.T)
+        for a in range(0, len(units), 2 * BATCH):
+            b = min(len(units), a + 2 * BATCH)
+            q, _ = self.query(context, first, a, b)
+            s = q @ turned
             s += self.bias
+            # Far from what a 32-bit exponential takes, rows are shifted by their largest value first.
+            top = s.max(axis=1) if np.abs(s).max() > 60 else np.zeros(b - a, dtype=np.float32)
+            if top.any():
+                s -= top[:, None]
             own = s[np.arange(b - a), units[a:b]]
-            top = s.max(axis=1)
-            s -= top[:, None]
             np.exp(s, out=s)
-            out[a:b] = own - top - np.log(s.sum(axis=1))
-        return out
+            res[a:b] = own - np.log(s @ ones)
+        return res
 
 
 def _scatter(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -198,17 +219,17 @@ class Trainer:
         self.m, self.rate, self.rng = model, rate, np.random.default_rng(seed)
         noise = 0.9 * share / max(1e-9, share.sum()) + 0.1 / UNITS
         self.noise, self.log_noise = noise / noise.sum(), np.log(NOISE * noise / noise.sum()).astype(np.float32)
-        self.sq = [np.full(x.shape, calm) for x in (model.out, model.bias, model.near, model.bag)]
+        self.sq = [np.full(x.shape, calm, dtype=np.float32) for x in (model.out, model.bias, model.near)]
         self.tokens = 0
 
-    def learn(self, units: np.ndarray, first: np.ndarray) -> None:
+    def learn(self, units: np.ndarray, context: np.ndarray, first: np.ndarray) -> None:
         for a in range(0, len(units), BATCH):
-            self.step(units, first, a, min(len(units), a + BATCH))
+            self.step(units, context, first, a, min(len(units), a + BATCH))
         self.tokens += len(units)
 
-    def step(self, units: np.ndarray, first: np.ndarray, a: int, b: int) -> None:
+    def step(self, units: np.ndarray, context: np.ndarray, first: np.ndarray, a: int, b: int) -> None:
         m, y = self.m, units[a:b]
-        q, near, (base, lo, hi) = m.query(units, first, a, b)
+        q, (base, lo, hi, none) = m.query(context, first, a, b)
         drawn = self.rng.choice(UNITS, NOISE, p=self.noise)
         ry, rn = m.out[y], m.out[drawn]
         t = np.einsum("nd,nd->n", q, ry) + m.bias[y] - self.log_noise[y]
@@ -219,13 +240,37 @@ class Trainer:
         n = np.float32(1 / (b - a))
         d_out = _scatter(y, gt[:, None] * q, UNITS) + _scatter(drawn, gn.T @ q, UNITS)
         d_bias = np.bincount(y, gt, UNITS) + np.bincount(drawn, gn.sum(axis=0), UNITS)
-        d_near = np.stack([_scatter(u, dq, UNITS + 1) for u in near])
-        edge = _scatter(lo, dq, b - base + 1) - _scatter(hi, dq, b - base + 1)
-        d_bag = _scatter(units[base:b], np.cumsum(edge, axis=0)[:-1] * (1 / BAG), UNITS + 1)
-        for x, g, sq in zip((m.out, m.bias, m.near, m.bag), (d_out, d_bias, d_near, d_bag), self.sq, strict=True):
-            g = g * n
+        for x, g, sq in zip((m.out, m.bias), (d_out, d_bias), self.sq, strict=False):
+            g = (g * n).astype(np.float32)
             sq += g * g
-            x -= (self.rate * g / np.sqrt(sq)).astype(np.float32)
+            x -= self.rate * g / np.sqrt(sq)
+        # What each place gets as the word at each distance before a token, and as one of a bag; then summed by context row.
+        size = b - base
+        rows = np.zeros((size + 1, WIDE), dtype=np.float32)
+        for k, out in enumerate(none, 1):
+            part = slice((k - 1) * DIM, k * DIM)
+            here = dq
+            if len(out):
+                rows[size, part] = dq[out].sum(axis=0)
+                here = dq.copy()
+                here[out] = 0
+            skip = max(0, k - (a - base))
+            rows[a - base - k + skip : size - k, part] = here[skip:]
+        edge = _scatter(lo, dq, size + 1) - _scatter(hi, dq, size + 1)
+        np.cumsum(edge[:-1] * (1 / BAG), axis=0, out=rows[:size, NEAR * DIM :])
+        who = np.append(context[base:b], BEFORE).astype(np.uint16)
+        order = np.argsort(who, kind="stable")
+        who = who[order]
+        starts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+        g = np.add.reduceat(rows[order], starts, axis=0)
+        g *= n
+        who = who[starts]
+        sq = self.sq[2][who]
+        sq += g * g
+        self.sq[2][who] = sq
+        g *= np.float32(self.rate)
+        g /= np.sqrt(sq)
+        m.near[who] -= g
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -302,11 +347,12 @@ def train(docs: DataFrame, words: Words) -> Model:
             trainer = Trainer(Model.start(known.share) if start is None else Model.of(start), known.share, rate, calm, 1)
             numbers, table = Numbers(known.words), triples()
 
-            def units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            def units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 tokens, ends = numbered(raw_texts(batch), numbers)
-                u = unit_of(known, numbers.new, table)[tokens].astype(np.int32)
+                u = unit_of(known, numbers.new, table)
+                context = context_of(known, u)[tokens].astype(np.int32)
                 numbers.forget()
-                return u, np.repeat(ends[:-1], np.diff(ends))
+                return u[tokens].astype(np.int32), context, np.repeat(ends[:-1], np.diff(ends))
 
             if rounds == 1:
                 for batch in slices(batches, most=TAKEN):
@@ -314,8 +360,8 @@ def train(docs: DataFrame, words: Words) -> Model:
             else:  # a bounded sample
                 held = [units(batch) for batch in slices(batches, most=TAKEN)]
                 for _ in range(rounds):
-                    for u, first in held:
-                        trainer.learn(u, first)
+                    for x in held:
+                        trainer.learn(*x)
             if trainer.tokens:
                 yield pa.RecordBatch.from_pydict({"n": [float(trainer.tokens)], "w": [trainer.m.flat().astype(float)]})
 
@@ -351,11 +397,13 @@ def score(docs: DataFrame, counts: DataFrame, words: Words, model: Model) -> Dat
         for batch in slices(batches, most=TAKEN):
             texts = raw_texts(batch)
             tokens, ends = numbered(texts, numbers)
-            unit = unit_of(known, numbers.new, table)[tokens]
+            unit = unit_of(known, numbers.new, table)
+            context = context_of(known, unit)[tokens].astype(np.int32)
+            unit = unit[tokens]
             new = numbers.new
             numbers.forget()
             owner = np.repeat(np.arange(len(texts)), np.diff(ends))
-            net_log = net.log_probs(unit.astype(np.int32), ends[:-1][owner]) / math.log(10)
+            net_log = net.log_probs(unit.astype(np.int32), context, ends[:-1][owner]) / math.log(10)
             own = np.where(tokens < size, log_c[np.minimum(tokens, size - 1)], 0.0)
             shares = np.where(unit >= HEAD, own - log_mass[unit], 0.0)
             total = lambda x: np.bincount(owner, x, len(texts))
@@ -366,18 +414,16 @@ def score(docs: DataFrame, counts: DataFrame, words: Words, model: Model) -> Dat
             tail = tokens >= size
             pairs, times = np.unique(owner[tail] * (len(new) + 1) + tokens[tail] - size, return_counts=True)
             at, word = np.divmod(pairs, len(new) + 1)
-            none = [None] * len(pairs)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    # A key with a space is no word: the text's own row joins nothing, and such rows spread evenly.
-                    pa.array([*(b" " + k for k in keys), *(new[w] for w in word)], pa.binary()),
-                    pa.array([*keys, *(keys[i] for i in at)], pa.binary()),
-                    pa.array([*([0] * n), *times.tolist()], pa.int32()),
-                    pa.array([*np.stack([np.diff(ends), total(seen), total(own) - log_all * np.diff(ends), total(net_log + shares)], axis=1).tolist(), *none], pa.list_(pa.float64())),
-                    pa.array([*ids, *none], batch.schema.field("doc_id").type),
-                ],
-                ["key", "row", "times", "own", "doc_id"],
-            )
+            rows = pa.array(keys, pa.binary())
+            own_type, id_type = pa.list_(pa.float64()), batch.schema.field("doc_id").type
+            sums = np.stack([np.diff(ends), total(seen), total(own) - log_all * np.diff(ends), total(net_log + shares)], axis=1)
+            names = ["key", "row", "times", "own", "doc_id"]
+            # A key with a space is no word: the text's own row joins nothing, and such rows spread evenly.
+            mark = pa.array([b" " + k for k in keys], pa.binary())
+            yield pa.RecordBatch.from_arrays([mark, rows, pa.array(np.zeros(n, np.int32)), pa.array(sums.tolist(), own_type), batch.column("doc_id")], names)
+            if len(pairs):
+                found = [pa.array(new, pa.binary()).take(pa.array(word)), rows.take(pa.array(at)), pa.array(times.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*found, pa.nulls(len(pairs), own_type), pa.nulls(len(pairs), id_type)], names)
 
     rows = docs.mapInArrow(rate, f"key binary, row binary, times int, own array<double>, doc_id {kind}")
     joined = rows.join(counts.withColumnRenamed("word", "key"), "key", "left")

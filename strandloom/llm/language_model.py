@@ -186,21 +186,23 @@ class Model:
             none.append(out)
         return q, (base, lo, hi, none)
 
-    def log_probs(self, units: np.ndarray, context: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each token's unit, normalised over all units."""
+    def log_probs(self, units: np.ndarray, first: np.ndarray, context: np.ndarray | None = None) -> np.ndarray:
+        """Natural log-probability of each token's unit, normalised over all units; context defaults to that of the units."""
+        if context is None:
+            context = np.where(units < HEAD, units, CONTEXT + units - HEAD)
         res = np.empty(len(units))
         ones = np.ones(UNITS, dtype=np.float32)
         turned = np.ascontiguousarray(self.out.T)
-        for a in range(0, len(units), 2 * BATCH):
-            b = min(len(units), a + 2 * BATCH)
+        for a in range(0, len(units), BATCH // 2):  # what fits in a core's cache
+            b = min(len(units), a + BATCH // 2)
             q, _ = self.query(context, first, a, b)
             s = q @ turned
             s += self.bias
-            # Far from what a 32-bit exponential takes, rows are shifted by their largest value first.
-            top = s.max(axis=1) if np.abs(s).max() > 60 else np.zeros(b - a, dtype=np.float32)
-            if top.any():
-                s -= top[:, None]
             own = s[np.arange(b - a), units[a:b]]
+            high = s.max(axis=1) if s.max() > 60 else None  # too far for a 32-bit exponential
+            if high is not None:
+                s -= high[:, None]
+                own -= high
             np.exp(s, out=s)
             res[a:b] = own - np.log(s @ ones)
         return res
@@ -235,7 +237,11 @@ class Trainer:
         t = np.einsum("nd,nd->n", q, ry) + m.bias[y] - self.log_noise[y]
         s = q @ rn.T + (m.bias[drawn] - self.log_noise[drawn])
         gt = (-1 / (1 + np.exp(np.clip(t, -30, 30)))).astype(np.float32)
-        gn = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+        np.clip(s, -30, 30, out=s)
+        np.negative(s, out=s)
+        np.exp(s, out=s)
+        s += 1
+        gn = np.reciprocal(s, out=s)
         dq = gt[:, None] * ry + gn @ rn
         n = np.float32(1 / (b - a))
         d_out = _scatter(y, gt[:, None] * q, UNITS) + _scatter(drawn, gn.T @ q, UNITS)
@@ -256,8 +262,11 @@ class Trainer:
                 here[out] = 0
             skip = max(0, k - (a - base))
             rows[a - base - k + skip : size - k, part] = here[skip:]
-        edge = _scatter(lo, dq, size + 1) - _scatter(hi, dq, size + 1)
-        np.cumsum(edge[:-1] * (1 / BAG), axis=0, out=rows[:size, NEAR * DIM :])
+        # A place is in the bags of the tokens whose lo isn't after it and whose hi is; both are in order.
+        upto = np.zeros((b - a + 1, DIM), dtype=np.float32)
+        np.cumsum(dq, axis=0, out=upto[1:])
+        place = np.arange(size)
+        rows[:size, NEAR * DIM :] = (upto[np.searchsorted(lo, place, side="right")] - upto[np.searchsorted(hi, place, side="right")]) * np.float32(1 / BAG)
         who = np.append(context[base:b], BEFORE).astype(np.uint16)
         order = np.argsort(who, kind="stable")
         who = who[order]
@@ -337,6 +346,24 @@ def vocabulary(counts: DataFrame) -> Words:
     return words
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, n, w): the sums of n and of n * w; a task holds the sums of its rows i only."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        ends = batch.column("w").offsets.to_numpy()
+        flat = batch.column("w").values.to_numpy()
+        for k, i in enumerate(batch.column("i").to_pylist()):
+            w = flat[ends[k] : ends[k + 1]] * n[k]
+            if i in sums:
+                sums[i][0] += n[k]
+                sums[i][1] += w
+            else:
+                sums[i] = [n[k], w]
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x[0] for x in sums.values()]), pa.array([x[1] for x in sums.values()], pa.list_(pa.float64()))], ["i", "n", "w"])
+
+
 def train(docs: DataFrame, words: Words) -> Model:
     """A warm start on at most WARM texts, then every partition on all of its texts, averaged by tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
@@ -362,23 +389,41 @@ def train(docs: DataFrame, words: Words) -> Model:
                 for _ in range(rounds):
                     for x in held:
                         trainer.learn(*x)
-            if trainer.tokens:
-                yield pa.RecordBatch.from_pydict({"n": [float(trainer.tokens)], "w": [trainer.m.flat().astype(float)]})
+            if trainer.tokens and start is None:
+                yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([1.0]), pa.array([trainer.m.flat()], pa.list_(pa.float32()))], ["i", "n", "w"])
+            elif trainer.tokens:
+                # How far the outputs (row -1) and the context rows that it has used went from the start.
+                begun = Model.of(start)
+                head = [x.ravel() - y.ravel() for x, y in ((trainer.m.out, begun.out), (trainer.m.bias, begun.bias))]
+                moved = trainer.m.near - begun.near
+                used = np.flatnonzero(moved.any(axis=1))
+                i = pa.array(np.append(-1, used))
+                n = pa.array(np.full(len(used) + 1, float(trainer.tokens)))
+                yield pa.RecordBatch.from_arrays([i, n, pa.array([np.concatenate(head), *moved[used]], pa.list_(pa.float32()))], ["i", "n", "w"])
 
         return run
 
     bound = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM)
     sample = docs.join(F.broadcast(bound), "doc_id", "left_semi").orderBy(F.xxhash64("text"), "text").select("text").limit(WARM)
-    first = sample.mapInArrow(fit(None, WARM_ROUNDS, 0.1, 1e-6), "n double, w array<double>").collect()
+    first = sample.mapInArrow(fit(None, WARM_ROUNDS, 0.1, 1e-6), "i long, n double, w array<float>").collect()
     start = np.array(first[0].w) if first else Model.start(words.share).flat()
     # Texts are dealt by hash and come in its order, so the result doesn't depend on how the table lies in files.
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     mark = F.xxhash64("doc_id", "text")  # copies of a text are spread
     dealt = docs.repartition(1 + size // SHARD, mark).sortWithinPartitions(mark).select("text")
-    parts = dealt.mapInArrow(fit(start, 1, 0.03, 1e-5), "n double, w array<double>")
-    mean = parts.select("n", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w"))
-    got = sorted((r.i, r.w) for r in mean.collect())  # one row for each weight of the model
-    return Model.of(np.array([w for _, w in got]) if got else start)
+    parts = dealt.mapInArrow(fit(start, 1, 0.03, 1e-5), "i long, n double, w array<float>")
+    got = {r.i: r for r in parts.repartition("i").sortWithinPartitions("i", "n", "w").mapInArrow(_summed, "i long, n double, w array<double>").collect()}  # the model's rows
+    model = Model.of(start)
+    if got:
+        # A shard that hasn't used a row leaves it where it was.
+        total = got[-1].n
+        head = np.array(got[-1].w) / total
+        model.out += head[: UNITS * DIM].reshape(UNITS, DIM).astype(np.float32)
+        model.bias += head[UNITS * DIM :].astype(np.float32)
+        for i, r in got.items():
+            if i >= 0:
+                model.near[i] += (np.array(r.w) / total).astype(np.float32)
+    return model
 
 
 def score(docs: DataFrame, counts: DataFrame, words: Words, model: Model) -> DataFrame:
@@ -403,7 +448,7 @@ def score(docs: DataFrame, counts: DataFrame, words: Words, model: Model) -> Dat
             new = numbers.new
             numbers.forget()
             owner = np.repeat(np.arange(len(texts)), np.diff(ends))
-            net_log = net.log_probs(unit.astype(np.int32), context, ends[:-1][owner]) / math.log(10)
+            net_log = net.log_probs(unit.astype(np.int32), ends[:-1][owner], context) / math.log(10)
             own = np.where(tokens < size, log_c[np.minimum(tokens, size - 1)], 0.0)
             shares = np.where(unit >= HEAD, own - log_mass[unit], 0.0)
             total = lambda x: np.bincount(owner, x, len(texts))

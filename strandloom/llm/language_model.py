@@ -29,6 +29,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -124,10 +125,12 @@ class Numbers(dict):
 
 def numbered(texts: list[bytes], numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all tokens, ends included, and where each text starts and stops."""
-    split = [[*t.lower().split(), END] for t in texts]
-    flat = [w for s in split for w in s]
-    tokens = np.fromiter(map(numbers.__getitem__, flat), dtype=np.int64, count=len(flat))
-    return tokens, np.concatenate([[0], np.cumsum([len(s) for s in split])])
+    split = [t.lower().split() for t in texts]
+    for s in split:
+        s.append(END)
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in split], dtype=np.int64)])
+    tokens = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=ends[-1])
+    return tokens, ends
 
 
 def unit_of(words: Words, new: list[bytes], table: np.ndarray) -> np.ndarray:
@@ -460,22 +463,21 @@ def score(docs: DataFrame, counts: DataFrame, words: Words, model: Model) -> Dat
             pairs, times = np.unique(owner[tail] * (len(new) + 1) + tokens[tail] - size, return_counts=True)
             at, word = np.divmod(pairs, len(new) + 1)
             rows = pa.array(keys, pa.binary())
-            own_type, id_type = pa.list_(pa.float64()), batch.schema.field("doc_id").type
-            sums = np.stack([np.diff(ends), total(seen), total(own) - log_all * np.diff(ends), total(net_log + shares)], axis=1)
-            names = ["key", "row", "times", "own", "doc_id"]
+            sums = [np.diff(ends).astype(float), total(seen), total(own) - log_all * np.diff(ends), total(net_log + shares)]
+            names = ["key", "row", "times", "n_tokens", "seen", "base", "net", "doc_id"]
             # A key with a space is no word: the text's own row joins nothing, and such rows spread evenly.
             mark = pa.array([b" " + k for k in keys], pa.binary())
-            yield pa.RecordBatch.from_arrays([mark, rows, pa.array(np.zeros(n, np.int32)), pa.array(sums.tolist(), own_type), batch.column("doc_id")], names)
+            yield pa.RecordBatch.from_arrays([mark, rows, pa.array(np.zeros(n, np.int32)), *map(pa.array, sums), batch.column("doc_id")], names)
             if len(pairs):
                 found = [pa.array(new, pa.binary()).take(pa.array(word)), rows.take(pa.array(at)), pa.array(times.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*found, pa.nulls(len(pairs), own_type), pa.nulls(len(pairs), id_type)], names)
+                yield pa.RecordBatch.from_arrays([*found, *(pa.nulls(len(pairs), pa.float64()) for _ in sums), pa.nulls(len(pairs), batch.schema.field("doc_id").type)], names)
 
-    rows = docs.mapInArrow(rate, f"key binary, row binary, times int, own array<double>, doc_id {kind}")
+    rows = docs.mapInArrow(rate, f"key binary, row binary, times int, n_tokens double, seen double, base double, net double, doc_id {kind}")
     joined = rows.join(counts.withColumnRenamed("word", "key"), "key", "left")
     c = F.coalesce("c", F.lit(0))
     per = joined.groupBy("row").agg(
         F.sum((F.col("times") == 0).cast("long")).alias("copies"),
-        F.max("own").alias("own"),
+        *(F.max(c).alias(c) for c in ("n_tokens", "seen", "base", "net")),
         F.max("doc_id").alias("doc_id"),
         F.sum(F.col("times") * F.log10(c + F.lit(SMOOTH))).alias("rest"),
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"),
@@ -485,11 +487,11 @@ def score(docs: DataFrame, counts: DataFrame, words: Words, model: Model) -> Dat
     rest, known = F.col("rest") / F.col("copies"), (F.col("known") / F.col("copies")).cast("long")
     return per.select(
         "doc_id",
-        F.col("own")[0].cast("long").alias("n_tokens"),
-        (F.col("own")[1].cast("long") + known).alias("n_known"),
+        F.col("n_tokens").cast("long").alias("n_tokens"),
+        (F.col("seen").cast("long") + known).alias("n_known"),
         F.lit(words.total).cast("long").alias("train_tokens"),
-        (F.col("own")[2] + rest).alias("base_score"),
-        (F.col("own")[3] + rest).alias("score"),
+        (F.col("base") + rest).alias("base_score"),
+        (F.col("net") + rest).alias("score"),
     )
 
 

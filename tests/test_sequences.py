@@ -1,8 +1,11 @@
 import random
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandloom.functions import bases
+from strandloom.operators import codes
 from strandloom.operators import kmers as KM
 from strandloom.operators import nodes as N
 from strandloom.operators import unitigs as U
@@ -121,3 +124,23 @@ def test_alignment_against_plain_dynamic_programming():
     ins, dele, mis, same = align(a, b)
     assert dele + mis + same == len(a) and ins + mis + same == len(b) and same >= 394
     assert band_matches("0123", "0123", 2) == 4 and band_matches("", "01", 2) == 0
+
+
+def test_counts_match_brute_force_at_every_length(spark):
+    r = random.Random(5)
+    reads = ["".join(r.choice("0123") for _ in range(r.randint(0, 120))) for _ in range(40)] + ["0" * 200, "01" * 90, "", None]
+    reads += reads[:7]
+    df = spark.createDataFrame([(x,) for x in reads], "seq string").repartition(3)
+    for k in (1, 2, 5, 20, 21, 31, 32, 33):
+        want = Counter(min(x[i : i + k], rc(x[i : i + k])) for x in reads if x for i in range(len(x) - k + 1))
+        assert {r.kmer: r.n for r in KM.count_kmers(df, k).collect()} == want
+        assert {r.kmer for r in KM.count_kmers(df, k, 3).collect()} == {x for x, n in want.items() if n >= 3}
+
+
+def test_kmers_are_shuffled_in_stretches():
+    r = random.Random(6)
+    stretch, low = codes.stretches(pa.array(["".join(r.choices("0123", k=20_000)), "0" * 500]), 21)
+    mers, of = codes.kmers_of(stretch, 21)
+    assert len(mers) == 19_980 + 480 and 4 * len(stretch) < len(mers)
+    part = {}
+    assert all(part.setdefault(x, h) == h for x, h in zip(mers.tolist(), low[of].tolist()))

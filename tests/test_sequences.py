@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandloom.functions import bases
-from strandloom.operators import codes
+from strandloom.operators import chains, codes
 from strandloom.operators import kmers as KM
 from strandloom.operators import nodes as N
 from strandloom.operators import unitigs as U
@@ -144,3 +144,38 @@ def test_kmers_are_shuffled_in_stretches():
     assert len(mers) == 19_980 + 480 and 4 * len(stretch) < len(mers)
     part = {}
     assert all(part.setdefault(x, h) == h for x, h in zip(mers.tolist(), low[of].tolist()))
+
+
+def brute_positions(items):
+    before, out = dict(items), {}
+    for i in before:
+        at, n = i, 0
+        while before[at] is not None and n <= len(before):
+            at, n = before[at], n + 1
+        if before[at] is None:
+            out[i] = (at, n)
+    return out
+
+
+def test_positions_by_contraction_match_steps(spark, monkeypatch):
+    r = random.Random(8)
+    ids = r.sample(range(-(10**12), 10**12), 700)
+    items = [(a, b, r.randint(0, 5)) for a, b in zip(ids, [None, *ids])]
+    items = [(a, None if r.random() < 0.02 else b, p) for a, b, p in items]
+    ring = r.sample(range(2 * 10**12, 3 * 10**12), 40)
+    items += [(a, b, a % 3) for a, b in zip(ring, [ring[-1], *ring])]
+    want = brute_positions([(a, b) for a, b, _ in items])
+    assert len(want) == 700
+    df = spark.createDataFrame(items, "id long, prev long, part int").repartition(3)
+    for held in (chains.HELD, 100):
+        monkeypatch.setattr(chains, "HELD", held)
+        assert {x.id: (x.head, x.dist) for x in chains.positions(df).collect()} == want
+
+
+def test_items_of_a_chain_meet_in_one_task(spark):
+    r = random.Random(9)
+    read = "".join(r.choices("0123", k=2_000))
+    at = U.oriented(spark.createDataFrame([(min(read[i : i + 21], rc(read[i : i + 21])),) for i in range(1_980)], "kmer string"), 21).collect()
+    part = {x.id: x.part for x in at}
+    same = [part[x.id] == part[y.id] for x in at for y in ([z for z in at if z.a == x.b] if x.id % 50 == 0 else [])]
+    assert len(part) == 3_960 and sum(same) > len(same) // 2

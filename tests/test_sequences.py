@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandloom.functions import bases
-from strandloom.operators import chains, codes
+from strandloom.operators import chains, codes, walks
 from strandloom.operators import kmers as KM
 from strandloom.operators import nodes as N
 from strandloom.operators import unitigs as U
@@ -179,3 +179,37 @@ def test_items_of_a_chain_meet_in_one_task(spark):
     part = {x.id: x.part for x in at}
     same = [part[x.id] == part[y.id] for x in at for y in ([z for z in at if z.a == x.b] if x.id % 50 == 0 else [])]
     assert len(part) == 3_960 and sum(same) > len(same) // 2
+
+
+def plain_links(g, a, b, budget):
+    """The same without looking ahead."""
+    found, stack = [], [([a], 0)]
+    while stack and len(found) < 2:
+        path, used = stack.pop()
+        for n in g.next(path[-1]):
+            if n == b:
+                found.append([*path, b])
+            elif n not in path and used + len(g.seq(n)) - g.k + 1 <= budget:
+                stack.append(([*path, n], used + len(g.seq(n)) - g.k + 1))
+    return found
+
+
+def test_links_match_a_plain_search():
+    r = random.Random(4)
+    some = 0
+    for _ in range(40):
+        rows = [(i, "".join(r.choices("0123", k=r.randint(3, 8))), r.randint(2, 7), r.choice(["in", "out"]), r.randint(2, 7), r.choice(["in", "out"])) for i in range(2, 12)]
+        g = walks.Graph(rows, 3)
+        for _ in range(60):
+            a, b = (r.choice([-1, 1]) * r.randint(2, 11) for _ in "ab")
+            want = plain_links(g, a, b, 12)
+            assert g.links(a, b, 12) == want
+            some += bool(want)
+    assert some > 100
+
+
+def test_links_leave_a_thicket_that_does_not_lead_there():
+    # Layers of two parallel edges: 2^60 ways, none to the edge asked for.
+    rows = [(2 + 2 * i + j, "01" + "0123"[j] + "2", 2 + i, "out", 3 + i, "in") for i in range(60) for j in (0, 1)]
+    rows.append((500, "0123", 900, "out", 901, "in"))
+    assert walks.Graph(rows, 3).links(2, 500, 1_000) == []

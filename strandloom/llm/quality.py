@@ -1,14 +1,16 @@
 """Quality classifier: Bradley-Terry pairwise ranking over document statistics.
 
 Every text becomes a row of surface statistics. Each statistic is cut into bins at
-quantiles of the fitting sample, so the ranking score is an additive function of
+exact quantiles of all labelled rows of the training folds, so the ranking score is an additive function of
 step functions. Preference pairs (a document labelled 1 over one labelled 0) give
-the logistic loss on feature differences. The cut lies at the quantile of the
+the logistic loss on feature differences; all labelled rows are in pairs, within shards
+whose weights are averaged. The cut lies at the quantile of the
 scores that equals the share of label 0, and the score is mapped to 0..1 so that
 the cut falls on THRESHOLD.
 
 Defined results: a null text counts as empty; the empty text has a score like any
-other; a null doc_id belongs to the held-out fold; repeated rows are scored alike;
+other; a null doc_id belongs to the held-out fold; repeated rows are scored alike and
+count once in the fit;
 without labelled rows of both kinds every score is 1; other columns are ignored.
 """
 
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, raw_texts, slices
+from .common import discard, durable, fold, raw_texts, slices
 
-#: Rows of labels to fit on; the rows with the lowest hash of the id are taken.
+#: Rows that sample_labelled() takes at most, those with the lowest hash of the id.
 FIT_ROWS = 20_000
-#: Preference pairs drawn in each round of the fit.
+#: Labelled rows that are fitted together, about.
+SHARD_ROWS = 20_000
+#: A tenth of PAIRS preference pairs is drawn in each round of the fit, or more where a shard needs more to use all rows.
 PAIRS, ROUNDS = 20_000, 300
 THRESHOLD = 0.3
 FOLDS = 5
@@ -83,7 +87,8 @@ class Ranker:
     scale: float
 
     def bins(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, c, side="right") for e, c in zip(self.edges, x.T, strict=True)], axis=1)
+        # Statistics count as float32, in the fit and in the score.
+        return np.stack([np.searchsorted(e, c, side="right") for e, c in zip(self.edges, x.astype(np.float32).T.astype(float), strict=True)], axis=1)
 
     def latent(self, x: np.ndarray) -> np.ndarray:
         b = self.bins(x)
@@ -96,31 +101,79 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ranker:
-    """Bradley-Terry fit: pairs of a row labelled 1 with a row labelled 0, by Adam on the logistic loss of their feature difference."""
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """float32 values as numbers of 32 bits in the same order."""
+    bits = (x.astype(np.float32) + np.float32(0)).view(np.uint32)
+    return np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
+
+
+def _value(bits: int) -> float:
+    bits = bits ^ (1 << 31) if bits >> 31 else bits ^ 0xFFFFFFFF
+    return float(np.array([bits], dtype=np.uint32).view(np.float32)[0])
+
+
+def order_statistics(rows: DataFrame, ranks: dict[tuple[int, int], list[int]]) -> dict[tuple[int, int, int], float]:
+    """(y, j, rank) to the value of that rank, from 0, in column j of x among all rows (x array<float>, y) of that y.
+
+    Each pass counts the values by some more of their leading bits, those only that start like a value that is looked for."""
+    found = {(y, j, r): (0, r) for (y, j), many in ranks.items() for r in many}  # leading bits, rank among values that start so
+    for before, shift in ((32, 16), (16, 8), (8, 0)):
+        starts: dict[tuple[int, int], list[int]] = {}
+        for (y, j, _), (start, _) in found.items():
+            starts.setdefault((y, j), []).append(start)
+
+        def run(batches: Iterator[pa.RecordBatch], before=before, shift=shift, starts=starts) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+                bits, y = _ordered(x).astype(np.int64), batch.column("y").to_numpy()
+                for (c, j), wanted in starts.items():
+                    own = bits[y == c, j]
+                    lead, n = np.unique(own[np.isin(own >> before, wanted)] >> shift, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), c, np.int32)), pa.array(np.full(len(n), j, np.int32)), pa.array(lead), pa.array(n)], ["y", "j", "lead", "n"])
+
+        counts = rows.select("x", "y").mapInArrow(run, "y int, j int, lead long, n long").groupBy("y", "j", "lead").agg(F.sum("n").alias("n"))
+        # 2^16 rows of a column at most in the first pass, 2^8 of a rank in the others.
+        got: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r in counts.collect():
+            got.setdefault((r.y, r.j), []).append((r.lead, r.n))
+        table = {k: np.array(sorted(v), dtype=np.int64) for k, v in got.items()}
+        for (y, j, r), (start, left) in found.items():
+            own = table[y, j]
+            own = own[own[:, 0] >> (before - shift) == start]
+            ends = np.cumsum(own[:, 1])
+            at = int(np.searchsorted(ends, left, side="right"))
+            found[y, j, r] = int(own[at, 0]), int(left - ends[at] + own[at, 1])
+    return {k: _value(bits) for k, (bits, _) in found.items()}
+
+
+def quantiles(rows: DataFrame, wanted: dict[tuple[int, int], list[float]], counts: dict[int, int]) -> dict[tuple[int, int], np.ndarray]:
+    """Quantiles, between two values by proportion, of all values of column j of the counts[y] rows of y; wanted: (y, j) to shares."""
+    places = {(y, j): np.array(q) * (counts[y] - 1) for (y, j), q in wanted.items()}
+    got = order_statistics(rows, {k: sorted({int(f(x)) for x in p for f in (math.floor, math.ceil)}) for k, p in places.items()})
+    return {
+        (y, j): np.array([got[y, j, math.floor(x)] + (x - math.floor(x)) * (got[y, j, math.ceil(x)] - got[y, j, math.floor(x)]) for x in p.tolist()])
+        for (y, j), p in places.items()
+    }
+
+
+def fit_pairs(codes: np.ndarray, y: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Weights by (feature, bin) of a Bradley-Terry fit: pairs of a row labelled 1 with a row labelled 0, by Adam on the
+    logistic loss of their feature difference. Rows of a label are drawn equally often, up to one, so all of them are."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        return Ranker(np.empty((0, BINS - 1)), np.empty((0, BINS)), 0.0, 1.0)
-    marks = np.linspace(0, 1, BINS + 1)[1:-1]
-    # Quantiles of either class, so that a rare class has bins of its own.
-    edges = np.stack([np.sort(np.concatenate([np.quantile(x[good, j], marks[::2]), np.quantile(x[bad, j], marks[1::2])])) for j in range(x.shape[1])])
-    ranker = Ranker(edges, np.zeros((x.shape[1], BINS)), 0.0, 1.0)
-    codes = ranker.bins(x) + np.arange(x.shape[1]) * BINS
+    each = max(PAIRS // 10, -(-max(len(good), len(bad)) // ROUNDS))
     rng = np.random.default_rng(seed)
-    w = np.zeros(x.shape[1] * BINS)
+    ups, downs = (rng.permutation(np.resize(x, ROUNDS * each)).reshape(ROUNDS, each) for x in (good, bad))
+    first = np.arange(codes.shape[1]) * BINS
+    w = np.zeros(codes.shape[1] * BINS)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, ROUNDS + 1):
-        a, b = codes[rng.choice(good, PAIRS // 10)], codes[rng.choice(bad, PAIRS // 10)]
+        a, b = codes[ups[step - 1]] + first, codes[downs[step - 1]] + first
         p = 1 / (1 + np.exp(np.clip(w[a].sum(axis=1) - w[b].sum(axis=1), -50, 50)))
-        each = np.repeat(p / len(p), a.shape[1])
-        g = np.bincount(b.ravel(), each, len(w)) - np.bincount(a.ravel(), each, len(w)) + 1e-4 * w
+        share = np.repeat(p / len(p), a.shape[1])
+        g = np.bincount(b.ravel(), share, len(w)) - np.bincount(a.ravel(), share, len(w)) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    ranker.weights = w.reshape(x.shape[1], BINS)
-    s = ranker.latent(x)
-    ranker.cut = float(np.quantile(s, len(bad) / len(y)))
-    ranker.scale = 4 / max(1e-6, float(np.median(s[good]) - np.median(s[bad])))
-    return ranker
+    return w.reshape(codes.shape[1], BINS)
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS) -> DataFrame:
@@ -132,17 +185,76 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ranker:
+def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, x, y) of all documents labelled 0 or 1 outside the held-out fold: statistics and label; rows equal in all are one.
+
+    The statistics and not the texts are shuffled."""
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = [features(t) for t in raw_texts(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "x"])
+
+    trains = F.col("doc_id").isNotNull() & (fold(FOLDS, F.col("doc_id")) != 0)
+    known = labels.where(F.col(label).isNotNull() & trains).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).where("y IN (0, 1)")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(trains).mapInArrow(measure, "doc_id long, x array<float>")
+    return rows.join(known, "doc_id").distinct()
 
-    got = sample_labelled(docs, labels, "quality", rows).mapInArrow(measure, "x array<double>, y int").limit(rows).toPandas()
-    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
-    y = got["y"].to_numpy(dtype=int)
-    order = np.lexsort([*x.T, y])  # the same fit whatever the order of the rows
-    return fit_pairs(x[order], y[order])
+
+def fit(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> Ranker:
+    """Bins, weights, cut and scale from all labelled rows. Weights are fitted in shards of about shard_rows rows, dealt by
+    id, and averaged by rows; the driver holds quantiles and weights only."""
+    rows = durable(labelled(docs, labels, "quality"))
+    counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        discard(rows)
+        return Ranker(np.empty((0, BINS - 1)), np.empty((0, BINS)), 0.0, 1.0)
+    marks = np.linspace(0, 1, BINS + 1)[1:-1].tolist()
+    # Quantiles of either class, so that a rare class has bins of its own.
+    cuts = quantiles(rows, {(y, j): marks[1 - y :: 2] for y in (0, 1) for j in range(len(FEATURES))}, counts)
+    edges = np.stack([np.sort(np.concatenate([cuts[1, j], cuts[0, j]])) for j in range(len(FEATURES))])
+    ranker = Ranker(edges, np.zeros((len(FEATURES), BINS)), 0.0, 1.0)
+    total = sum(counts.values())
+    # Every shard is to have rows of both labels.
+    shards = max(1, min(total // shard_rows, min(counts.values()) // 100))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            codes, y = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if y.min() != y.max():
+                yield pa.RecordBatch.from_pydict({"shard": [shard], "n": [len(y)], "w": [fit_pairs(codes, y).ravel().tolist()]})
+
+        shard, parts = None, []
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            codes, y, of = ranker.bins(x).astype(np.uint8), batch.column("y").to_numpy(), batch.column("shard").to_numpy()
+            for s in np.unique(of).tolist():
+                if s != shard and parts:
+                    yield from done(parts)
+                    parts = []
+                shard = s
+                parts.append((codes[of == s], y[of == s]))
+        if parts:
+            yield from done(parts)
+
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard", "doc_id", "x")
+    got = sorted(dealt.select("shard", "x", "y").mapInArrow(train, "shard long, n long, w array<double>").collect(), key=lambda r: r.shard)
+    ranker.weights = np.average([r.w for r in got], axis=0, weights=[r.n for r in got]).reshape(len(FEATURES), BINS)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The latent score of each row, under its label and under 2 for all rows."""
+        for batch in batches:
+            s = ranker.latent(batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)).astype(np.float32)
+            y = batch.column("y").to_numpy()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(2 * len(s) + 1, dtype=np.int32)), pa.array(np.concatenate([s, s])))
+            yield pa.RecordBatch.from_arrays([lists, pa.array(np.concatenate([y, np.full_like(y, 2)]))], ["x", "y"])
+
+    latent = rows.mapInArrow(place, "x array<float>, y int")
+    at = quantiles(latent, {(0, 0): [0.5], (1, 0): [0.5], (2, 0): [counts[0] / total]}, counts | {2: total})
+    ranker.cut = float(at[2, 0][0])
+    ranker.scale = 4 / max(1e-6, float(at[1, 0][0] - at[0, 0][0]))
+    discard(rows)
+    return ranker
 
 
 def score(docs: DataFrame, ranker: Ranker, keep: list[str] | None = None) -> DataFrame:

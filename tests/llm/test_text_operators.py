@@ -433,6 +433,26 @@ def test_classifiers_learn(spark):
     assert np.mean([(q[i] >= 0.3) == bool(y) for i, y, _ in test]) > 0.97
 
 
+def test_quality_is_fitted_on_all_labelled_rows(spark):
+    r = random.Random(4)
+    texts = ["x" * r.randint(1, 10**4) + " y" * r.randint(0, 3) for _ in range(26_000)]
+    rows = [(i, int(len(t) > 3000)) for i, t in enumerate(texts, 1)]
+    got = quality.fit(table(spark, texts), spark.createDataFrame(rows, "doc_id long, quality int"))
+    j = quality.FEATURES.index("longest_word")
+    x = {y: [quality.features(texts[i - 1].encode())[j] for i, z in rows if z == y and zlib.crc32(str(i).encode()) % 5] for y in (0, 1)}
+    marks = np.linspace(0, 1, quality.BINS + 1)[1:-1]
+    assert len(x[0]) + len(x[1]) > 20_000
+    assert np.allclose(got.edges[j], np.sort(np.concatenate([np.quantile(x[1], marks[::2]), np.quantile(x[0], marks[1::2])])), atol=1e-6, rtol=0)
+
+
+def test_order_statistics_match_a_sort(spark):
+    x = np.random.default_rng(3).normal(size=(500, 2)).astype(np.float32)
+    x[::7] = 0
+    rows = spark.createDataFrame([(a.tolist(), i % 2) for i, a in enumerate(x)], "x array<float>, y int")
+    got = quality.order_statistics(rows, {(y, j): [0, 17, 40, 249] for y in (0, 1) for j in (0, 1)})
+    assert got == {(y, j, k): float(np.sort(x[y::2, j])[k]) for y in (0, 1) for j in (0, 1) for k in (0, 17, 40, 249)}
+
+
 def test_label_model_rates_voters():
     r = np.random.default_rng(4)
     y = r.random(4000) < 0.3

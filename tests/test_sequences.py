@@ -213,3 +213,24 @@ def test_links_leave_a_thicket_that_does_not_lead_there():
     rows = [(2 + 2 * i + j, "01" + "0123"[j] + "2", 2 + i, "out", 3 + i, "in") for i in range(60) for j in (0, 1)]
     rows.append((500, "0123", 900, "out", 901, "in"))
     assert walks.Graph(rows, 3).links(2, 500, 1_000) == []
+
+
+def test_seeds_as_numbers_match_those_as_text():
+    r = random.Random(8)
+    for k in (1, 2, 5, 21, 31, 32):
+        seqs = {i: "".join(r.choices("0123", k=r.randint(k, k + 60))) for i in range(1, 12)}
+        seqs[12] = seqs[1][: k + 3]  # k-mers that occur twice
+        g = walks.Graph([(i, s, 0, "out", 0, "in") for i, s in seqs.items()], k)
+        index = g.index()
+        assert isinstance(index, walks.Mers) and g.index() is index
+        for _ in range(60):
+            s = r.choice(list(seqs.values()))
+            read = "".join(r.choices("0123", k=r.randint(0, 700))) + r.choice(("", "N", "4")) + r.choice((s, walks.rc(s), s[: k - 1]))
+            assert g.seed(read, index) == g.seed(read, g.texts())
+        for _ in range(40):  # substitutions are counted as base by base
+            o = r.choice([1, -3])
+            s = g.seq(o)
+            read = "".join(c if r.random() < 0.9 else r.choice("0123") for c in s) + "0"
+            assert g.along(read, o, 0) == ([o], len(s), sum(a != b for a, b in zip(s, read)))
+            assert g.enters(o) == s[k - 1]
+    assert isinstance(walks.Graph([(1, "0" * 40, 0, "out", 0, "in")], 33).index(), dict)

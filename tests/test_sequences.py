@@ -234,3 +234,18 @@ def test_seeds_as_numbers_match_those_as_text():
             assert g.along(read, o, 0) == ([o], len(s), sum(a != b for a, b in zip(s, read)))
             assert g.enters(o) == s[k - 1]
     assert isinstance(walks.Graph([(1, "0" * 40, 0, "out", 0, "in")], 33).index(), dict)
+
+
+def test_solid_kmers_are_counted_once_for_the_graph(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    text = "".join(random.Random(3).choices("0123", k=60))
+    mers = sorted({min(m, walks.rc(m)) for i in range(40) for m in [text[i : i + 21]]})
+    solid = spark.createDataFrame([(m,) for m in mers], "kmer string").mapInArrow(run, "kmer string")
+    U.unitigs(solid, 21, True)
+    assert seen.value == len(mers)

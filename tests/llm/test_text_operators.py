@@ -301,6 +301,30 @@ def test_thousands_with_one_line_in_common_fall_apart(spark):
     assert all(out[i].class_id == i and out[i].n_dup_words == 0 for i in range(1, 401))
 
 
+def test_links_do_not_depend_on_how_many_share_a_key(spark):
+    """Pairs that match each other and not the hub, with few and with many texts under the keys of a line that all share."""
+    line = prose(40, 78)
+    pairs = []
+    for i in range(20):
+        w = prose(30, 18_000 + i).split()
+        pairs += [f"{prose(45, 19_000 + 2 * i + k)} {line} {' '.join(w)} {prose(45, 20_000 + 2 * i + k)}" for k in range(2)]
+    others = [f"{prose(45, 21_000 + i)} {line} {prose(75, 22_000 + i)}" for i in range(200)]
+    for more in ([], others):
+        out = {r.doc_id: r for r in passages.dedup(table(spark, [*pairs, *more])).collect()}
+        assert all(out[i + 1].class_id == i and out[i + 1].n_dup_words >= 70 for i in range(1, 41, 2))
+        assert all(out[i].class_id == i for i in range(41, 41 + len(more)))
+
+
+def test_a_settled_text_under_a_large_key_meets_the_open_ones(spark):
+    """As many matches of the hub as make a large key; the last text matches those with its change only, which the hub has settled."""
+    w = prose(60, 23_000).split()
+    one, both, two = [*w[:20], "first", *w[21:]], w, [*w[:40], "second", *w[41:]]
+    texts = [f"{prose(30, 24_000 + i)} {' '.join(x)} {prose(30, 25_000 + i)}" for i, x in enumerate([one] * 70 + [both] + [two])]
+    out = {r.doc_id: r for r in passages.dedup(table(spark, texts)).collect()}
+    assert all(out[i].class_id == 1 for i in range(1, 73))
+    assert out[72].n_dup_words >= 50
+
+
 def test_texts_of_one_id_and_of_none_are_told_apart(spark):
     """Three texts under a null id and three under id 5: a copy, a near copy of document 3, an unrelated one."""
     base, free = prose(120, 21), [prose(120, 22), prose(120, 23)]

@@ -3,7 +3,7 @@
 Every text becomes a row of surface statistics. Each statistic is cut into bins at
 exact quantiles of all labelled rows of the training folds, so the ranking score is an additive function of
 step functions. Preference pairs (a document labelled 1 over one labelled 0) give
-the logistic loss on feature differences; all labelled rows are in pairs, within shards
+the logistic loss on feature differences; each round takes all pairs, within shards
 whose weights are averaged. The cut lies at the quantile of the
 scores that equals the share of label 0, and the score is mapped to 0..1 so that
 the cut falls on THRESHOLD.
@@ -33,8 +33,9 @@ from .common import discard, durable, fold, raw_texts, slices
 FIT_ROWS = 20_000
 #: Labelled rows that are fitted together, about.
 SHARD_ROWS = 20_000
-#: A tenth of PAIRS preference pairs is drawn in each round of the fit, or more where a shard needs more to use all rows.
-PAIRS, ROUNDS = 20_000, 300
+ROUNDS = 300
+#: The scores of either label are dealt to so many points, between two by proportion, to sum over all pairs.
+POINTS = 1024
 THRESHOLD = 0.3
 FOLDS = 5
 BINS = 12
@@ -156,21 +157,26 @@ def quantiles(rows: DataFrame, wanted: dict[tuple[int, int], list[float]], count
     }
 
 
-def fit_pairs(codes: np.ndarray, y: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Weights by (feature, bin) of a Bradley-Terry fit: pairs of a row labelled 1 with a row labelled 0, by Adam on the
-    logistic loss of their feature difference. Rows of a label are drawn equally often, up to one, so all of them are."""
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    each = max(PAIRS // 10, -(-max(len(good), len(bad)) // ROUNDS))
-    rng = np.random.default_rng(seed)
-    ups, downs = (rng.permutation(np.resize(x, ROUNDS * each)).reshape(ROUNDS, each) for x in (good, bad))
-    first = np.arange(codes.shape[1]) * BINS
+def fit_pairs(codes: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights by (feature, bin) of a Bradley-Terry fit: all pairs of a row labelled 1 with a row labelled 0, by Adam on the
+    logistic loss of their feature difference. A row's share of the gradient is the mean, over all rows of the other label, of the
+    chance that the pair is the wrong way round; it comes from the distribution of their scores on POINTS points."""
+    good = y == 1
+    sign = np.where(good, -1 / good.sum(), 1 / (~good).sum())
+    at = codes.astype(np.int32) + np.arange(codes.shape[1], dtype=np.int32) * BINS
     w = np.zeros(codes.shape[1] * BINS)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, ROUNDS + 1):
-        a, b = codes[ups[step - 1]] + first, codes[downs[step - 1]] + first
-        p = 1 / (1 + np.exp(np.clip(w[a].sum(axis=1) - w[b].sum(axis=1), -50, 50)))
-        share = np.repeat(p / len(p), a.shape[1])
-        g = np.bincount(b.ravel(), share, len(w)) - np.bincount(a.ravel(), share, len(w)) + 1e-4 * w
+        s = w[at].sum(axis=1)
+        width = max(1e-9, float(np.ptp(s))) / (POINTS - 1)
+        place = (s - s.min()) / width
+        low = np.minimum(place.astype(np.int64), POINTS - 2)
+        part = place - low
+        ups, downs = (np.bincount(low[c], 1 - part[c], POINTS) + np.bincount(low[c] + 1, part[c], POINTS) for c in (good, ~good))
+        wrong = 1 / (1 + np.exp(-np.clip(width * np.arange(1 - POINTS, POINTS), -50, 50)))  # by score of the 0 less score of the 1
+        of_good, of_bad = np.correlate(wrong, downs / downs.sum(), "valid")[::-1], np.convolve(wrong, ups / ups.sum(), "valid")
+        p = np.where(good, (1 - part) * of_good[low] + part * of_good[low + 1], (1 - part) * of_bad[low] + part * of_bad[low + 1])
+        g = np.bincount(at.ravel(), np.repeat(sign * p, at.shape[1]), len(w)) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w.reshape(codes.shape[1], BINS)
@@ -237,8 +243,13 @@ def fit(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> Ran
         if parts:
             yield from done(parts)
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard", "doc_id", "x")
-    got = sorted(dealt.select("shard", "x", "y").mapInArrow(train, "shard long, n long, w array<double>").collect(), key=lambda r: r.shard)
+    while True:
+        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "x"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard", "doc_id", "x")
+        got = sorted(dealt.select("shard", "x", "y").mapInArrow(train, "shard long, n long, w array<double>").collect(), key=lambda r: r.shard)
+        if sum(r.n for r in got) == total:
+            break
+        # A shard has rows of one label only: they are to be in pairs too.
+        shards = max(1, shards // 2)
     ranker.weights = np.average([r.w for r in got], axis=0, weights=[r.n for r in got]).reshape(len(FEATURES), BINS)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

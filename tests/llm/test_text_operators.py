@@ -457,6 +457,26 @@ def test_classifiers_learn(spark):
     assert np.mean([(q[i] >= 0.3) == bool(y) for i, y, _ in test]) > 0.97
 
 
+def test_quality_pairs_are_all_pairs():
+    """Against the gradient of every pair; rows in another order give the same weights."""
+    rng = np.random.default_rng(3)
+    codes, y = rng.integers(0, quality.BINS, (90, 5)), (rng.random(90) < 0.3).astype(int)
+    codes[y == 1, 0] = rng.integers(4, quality.BINS, y.sum())
+    at = codes + np.arange(5) * quality.BINS
+    x = np.zeros((90, 5 * quality.BINS))
+    x[np.arange(90)[:, None], at] = 1
+    d = (x[y == 1][:, None] - x[y == 0][None]).reshape(-1, x.shape[1])
+    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    for step in range(1, quality.ROUNDS + 1):
+        g = -(d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) + 1e-4 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    got = quality.fit_pairs(codes, y)
+    assert np.abs(x @ got.ravel() - x @ w).max() < 0.05 * np.ptp(x @ w)
+    order = rng.permutation(90)
+    assert np.allclose(quality.fit_pairs(codes[order], y[order]), got, atol=1e-4)
+
+
 def test_quality_is_fitted_on_all_labelled_rows(spark):
     r = random.Random(4)
     texts = ["x" * r.randint(1, 10**4) + " y" * r.randint(0, 3) for _ in range(26_000)]

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -342,6 +343,27 @@ def test_texts_of_one_id_and_of_none_are_told_apart(spark):
     assert sorted(r.text for r in left) == sorted([base, *free])
 
 
+def test_a_pair_under_several_shares_of_a_hub_is_told_once():
+    """The second share, which isn't the pair's own (lo 0), still tells what only its keys lead to."""
+    same, other, third = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60)), " ".join(f"c{i}" for i in range(60))
+    texts = {1: same, 2: f"{same} {other}", 3: f"{same} {other} {third}"}
+    rows = [(1, share, None, m, own if m != 1 else 0, None, None, None, texts[m]) for share, own in ((0, 1), (1, 0)) for m in texts]
+    # The places of texts 2 and 3 lie in their other passage, which the hub doesn't have.
+    rows += [(1, 1, 7, m, 70, 75, 10, 15, None) for m in (2, 3)]
+    rows.sort(key=lambda r: (r[1], r[2] is not None))
+    names = ["hub", "share", "key", "m", "lo", "hi", "hub_lo", "hub_hi", "text"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "text" else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
+    found = [r for out in passages._compare(iter([batch])) for r in zip(*(out.column(c).to_pylist() for c in ("m", "hub", "start", "stop")), strict=True)]
+    assert sorted(found) == [(2, 1, 0, 60), (3, 1, 0, 60), (3, 2, 0, 120)]
+
+
+def test_keys_alone_are_those_of_the_windows(spark):
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(m, " ".join(f"w{i}" for i in rng.integers(0, most, 300))) for m, most in enumerate((5, 40, 10_000))], "m long, text string")
+    whole = {(r.key, r.m) for r in passages.windows(docs).select("key", "m").collect()}
+    assert {(r.key, r.m) for r in passages.windows(docs, keys=True).collect()} == whole
+
+
 def test_runs_found_elsewhere_dont_part_a_passage():
     a = np.arange(1, 66, dtype=np.uint64)
     b = np.concatenate([a[:30], np.arange(100, 105, dtype=np.uint64), a[35:], np.arange(200, 300, dtype=np.uint64), a[32:33]])

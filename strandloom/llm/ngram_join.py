@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocked, sent
-from .common import discard, durable, met, raw_texts, slices
+from .common import discard, durable, met, raw_texts, release, slices
 from .components import components
 from .shingles import mix, roots, sets, shingles, sums, words
 
@@ -268,6 +268,8 @@ def verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame
                 out.append((hub, m, den * both >= num * (len(a) + len(b) - both)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["a", "b", "linked"])
+        del own
+        release()
 
     dealt = blocked(pairs.select(F.col("a").alias("hub"), F.col("b").alias("m"), F.lit(1).alias("weight")))
     return sent(dealt, held, "s").mapInArrow(run, "a long, b long, linked boolean")
@@ -299,6 +301,8 @@ def _link_blocks(num: int, den: int):
         low = roots(len(rows), u, v)
         far = np.flatnonzero(low != np.arange(len(rows)))
         m = rows["m"].to_numpy()
+        del inter, union
+        release()
         return pd.DataFrame({"u": m[far], "v": m[low[far]]})
 
     return run

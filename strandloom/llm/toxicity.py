@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, raw_texts, slices
+from .common import Memo, raw_texts, release, slices
 from .quality import FIT_ROWS, FOLDS, sample_labelled  # noqa: F401
 
 #: A public word list of plain insults.
@@ -185,6 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
             y += batch.column("y").to_pylist()
         order = sorted(range(len(y)), key=lambda i: (texts[i], y[i]))
         got = train([texts[i] for i in order], np.array([y[i] for i in order], dtype=int))
+        del texts
+        release()
         yield pa.RecordBatch.from_pydict({"term": ["", *got.weights], "w": [got.bias, *got.weights.values()]})
 
     # At most `rows` rows meet in the one task, even where ids repeat; the scan before stays spread.

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandloom.llm import components, fingerprints, language_model, line_quality, ngram_join, packing, passages, pieces, quality, sharding, toxicity
+from strandloom.llm import common, components, fingerprints, language_model, line_quality, ngram_join, packing, passages, pieces, quality, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, rep long, spans string"
 R = random.Random(11)
@@ -357,6 +357,15 @@ def test_a_pair_under_several_shares_of_a_hub_is_told_once():
     assert sorted(found) == [(2, 1, 0, 60), (3, 1, 0, 60), (3, 2, 0, 120)]
 
 
+def test_release_gives_freed_memory_back():
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024  # noqa: E731, SIM115
+    rows = [np.full(1000, float(i)) for i in range(30_000)]
+    last, most = rows[-1], held()
+    del rows
+    common.release()
+    assert held() < most - 150 and last[0] == 29_999
+
+
 def test_keys_alone_are_those_of_the_windows(spark):
     rng = np.random.default_rng(8)
     docs = spark.createDataFrame([(m, " ".join(f"w{i}" for i in rng.integers(0, most, 300))) for m, most in enumerate((5, 40, 10_000))], "m long, text string")

@@ -215,6 +215,40 @@ def test_links_leave_a_thicket_that_does_not_lead_there():
     assert walks.Graph(rows, 3).links(2, 500, 1_000) == []
 
 
+def test_links_leave_a_thicket_whose_way_out_is_taken():
+    # From 2 through edge 3 into layers of two parallel edges, which lead back to where 3 begins: no way goes past 3 twice.
+    rows = [(2, "0120", 1, "out", 2, "in"), (3, "0121", 2, "out", 3, "in"), (4, "0122", 3, "out", 10, "in")]
+    rows += [(10 + 2 * i + j, "01" + "0123"[j] + "2", 10 + i, "out", 11 + i, "in") for i in range(40) for j in (0, 1)]
+    rows += [(200, "0103", 50, "out", 2, "in"), (201, "0133", 3, "out", 51, "in"), (300, "0123", 51, "out", 301, "in")]
+    g = walks.Graph(rows, 3)
+    assert g.links(2, 300, 1_000) == [[2, 3, 201, 300]]
+    assert g.links(2, 300, 1_000, {2, 300}) == [[2, 3, 201, 300]]
+
+
+def test_barred_links_match_a_plain_search():
+    def plain(g, path, used, b, budget, barred):
+        for n in g.next(path[-1]):
+            if n == b:
+                yield [*path, b]
+            elif abs(n) not in barred | {abs(o) for o in path} and used + g.added(n) <= budget:
+                yield from plain(g, [*path, n], used + g.added(n), b, budget, barred)
+
+    r = random.Random(5)
+    some = 0
+    for _ in range(40):
+        rows = [(i, "".join(r.choices("0123", k=r.randint(3, 8))), r.randint(2, 7), r.choice(["in", "out"]), r.randint(2, 7), r.choice(["in", "out"])) for i in range(2, 12)]
+        g = walks.Graph(rows, 3)
+        for _ in range(60):
+            a, b, c = r.sample(range(2, 12), 3)
+            a, b = a * r.choice([-1, 1]), b * r.choice([-1, 1])
+            barred = {abs(a), abs(b), c}
+            want = list(plain(g, [a], 0, b, 12, barred))
+            got = g.links(a, b, 12, barred)
+            assert len(got) == min(2, len(want)) and all(x in want for x in got)
+            some += len(want) == 1
+    assert some > 100
+
+
 def test_seeds_as_numbers_match_those_as_text():
     r = random.Random(8)
     for k in (1, 2, 5, 21, 31, 32):

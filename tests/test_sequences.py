@@ -270,6 +270,26 @@ def test_seeds_as_numbers_match_those_as_text():
     assert isinstance(walks.Graph([(1, "0" * 40, 0, "out", 0, "in")], 33).index(), dict)
 
 
+def test_the_index_of_seeds_holds_and_takes_little_memory(monkeypatch):
+    import tracemalloc
+
+    digits = random.Random(6).choices("0123", k=1_000_000)
+    seqs = {i: "".join(digits[i * 200 : i * 200 + 200]) for i in range(1, 5_000)}
+    seqs[0] = seqs[7]  # occurs twice
+    monkeypatch.setattr(walks.Mers, "HELD", 1 << 17)
+    monkeypatch.setattr(walks.Mers, "STEP", 1 << 15)
+    tracemalloc.start()
+    m = walks.Mers(seqs, 21)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    bases = 200 * len(seqs)
+    fixed = (1 << m.BITS) + 16 * (1 << m.RANGES)  # the tables, whatever the graph's size
+    assert held < fixed + 6 * bases and peak < fixed + (16 << m.RANGES) + 30 * bases
+    for i in (1, 2, 77, 4_999):
+        assert m.first(seqs[i][5:]) == (0, 1, i, 5) and m.first(walks.rc(seqs[i])) == (0, -1, i, 179)
+    assert m.first(seqs[7]) is None and m.first(seqs[7][:50] + seqs[9][:30]) == (50, 1, 9, 0)
+
+
 def test_solid_kmers_are_counted_once_for_the_graph(spark):
     seen = spark.sparkContext.accumulator(0)
 
